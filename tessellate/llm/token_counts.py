@@ -1,7 +1,8 @@
 """Token counts: byte-pair merging of whole batches at once, without a tokenizer library.
 
-Texts are cut into pre-tokens by the vocabulary's own pattern. Pre-tokens that a worker hasn't met
-are held as one ragged array of symbol ids. In each round every sequence finds the pair of its
+Texts are cut at spaces, and each distinct chunk, its space before it, into pre-tokens by the
+vocabulary's own pattern (a pre-token never reaches over a space followed by a non-space). Pre-tokens
+that a worker hasn't met are held as one ragged array of symbol ids. In each round every sequence finds the pair of its
 lowest rank and merges all occurrences of it at once; sequences that have no pair left drop out.
 The number of symbols that survive is the pre-token's token count, kept in a bounded cache.
 """
@@ -20,9 +21,11 @@ from .shared import small_batches
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a worker remembers; beyond it the cache starts anew.
-CACHE = 400_000
-#: Pre-tokens of one ragged array.
-ROUND = 50_000
+CACHE = 500_000
+#: Pre-tokens of one ragged array, and chunks held until new ones among them are merged.
+ROUND, HELD = 20_000, 400_000
+#: Mark of a chunk that begins with white space: what it counts depends on its neighbour.
+UNSURE = -(10**15)
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -66,6 +69,7 @@ class Merger:
             left_over[put] = False
             todo, slot = todo[left_over], (slot[left_over] + 1) & ((1 << self.bits) - 1)
         self.counts: dict[str, int] = {}
+        self.chunks: dict[str, int] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -115,9 +119,7 @@ class Merger:
         return counts
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.counts) > CACHE:
-            self.counts.clear()
-        new = [t for t in tokens if t not in self.counts]
+        new = list(tokens)
         for i in range(0, len(new), ROUND):
             part = new[i : i + ROUND]
             self.counts.update(zip(part, self.lengths([t.encode() for t in part]).tolist()))
@@ -139,21 +141,59 @@ def count_texts(texts: list[str | None], vocabulary: str, special: bool = True)
     m = merger(vocabulary)
     find = _patterns.setdefault("pre", regex.compile(PATTERN)).findall
     cut = _patterns.setdefault(vocabulary, regex.compile("|".join(map(regex.escape, m.special)) or r"(?!)"))
-    out = []
-    for text in texts:
+    out, held, whole, size = [], [], [], 0
+
+    def pretokens(lists: list[list[str]]) -> list[int]:
+        """Tokens of each list; new pre-tokens of all of them are merged together."""
+        if len(m.counts) > CACHE:
+            m.counts.clear()
+        m.learn({t for tokens in lists for t in tokens if t not in m.counts})
+        return [sum(map(m.counts.__getitem__, tokens)) for tokens in lists]
+
+    def settle() -> None:
+        if len(m.chunks) > CACHE:
+            m.chunks.clear()
+        # a first chunk has no space before it; the others are counted with theirs, each once
+        new = {c for _, chunks in held for c in chunks[1:]}.difference(m.chunks)
+        m.chunks.update((c, UNSURE) for c in new if not c or c[0].isspace())
+        new = [c for c in new if c and not c[0].isspace()]
+        if new:
+            tokens = find(" " + " ".join(new))
+            begin = [k for k, t in enumerate(tokens) if t[0] == " "]  # no other token begins with a space
+            if len(m.counts) > CACHE:
+                m.counts.clear()
+            m.learn(set(tokens).difference(m.counts))
+            counts = np.fromiter(map(m.counts.__getitem__, tokens), np.int64, len(tokens))
+            m.chunks.update(zip(new, np.add.reduceat(counts, begin).tolist()))
+        for (k, chunks), n in zip(held, pretokens([find(chunks[0]) for _, chunks in held])):
+            n += sum(map(m.chunks.__getitem__, chunks[1:]))
+            if n < 0:  # white space meets across a cut: by the whole text
+                whole.append(k)
+            else:
+                out[k] += n
+        for k in whole:
+            for tokens in _pieces(find, texts[k]):
+                out[k] += pretokens([tokens])[0]
+        held.clear()
+        whole.clear()
+
+    for k, text in enumerate(texts):
         text = text or ""
-        n, parts = 0, [text]
+        out.append(0)
         if special and any(s in text for s in m.special):
             parts = cut.split(text)
-            n = len(parts) - 1
-        for part in parts:
-            for tokens in _pieces(find, part):
-                try:
-                    n += sum(map(m.counts.__getitem__, tokens))
-                except KeyError:
-                    m.learn(set(tokens))
-                    n += sum(map(m.counts.__getitem__, tokens))
-        out.append(n)
+            out[k] = len(parts) - 1
+            for part in parts:
+                for tokens in _pieces(find, part):
+                    out[k] += pretokens([tokens])[0]
+            continue
+        chunks = text.split(" ")
+        held.append((k, chunks))
+        size += len(chunks)
+        if size > HELD:
+            settle()
+            size = 0
+    settle()
     return out
 
 
