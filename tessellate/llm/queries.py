@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_scan import license_scan
+from .media import media_table
+from .mixing import mixed
+from .packing import packed_documents
+from .quality import quality_rules
 from .shared import documents
 from .simhash import simhash_components
 from .suffix_dedup import dedup_suffixes
 from .token_counts import token_counts
 from .token_output import token_output
+from .toxicity import held_out, learn, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +32,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -38,11 +48,32 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir), width=3, radius=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media_table(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir)).drop("blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_suffix_dedup": op1_suffix_dedup,
-    "op3_token_counts": op3_token_counts,
-    "op4_token_output": op4_token_output,
-    "op5_simhash": op5_simhash,
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_packing, op3_token_counts, op4_token_output, op5_simhash, op6_toxicity, op7_media, op8_mixing, op9_quality, op10_license_scan)
 }
 
 ORACLE: dict[str, str] = {}
