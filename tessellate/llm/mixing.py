@@ -48,7 +48,8 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], limit: float)
     left = F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     over = F.col("every") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     w = w.withColumn("capped", left / over >= F.col("cap") / F.col("weight"))
-    share = (F.col("all") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0.0)).over(everything)) / F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("weight"))).over(everything)
+    rest = F.col("all") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0.0)).over(everything)
+    share = F.try_divide(rest, F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("weight"))).over(everything))
     return w.withColumn("share", share).select("source", "source_size", "n_rows", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("share") * F.col("weight")).alias("target"))
 
 
@@ -59,14 +60,14 @@ def decisions(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), limit:
     ``copies`` equal rows all are taken ``epochs`` times and ``chosen`` of them once more.
     """
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text_or_empty(text)).alias("digest"),
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.md5(text_or_empty(text)).alias("digest"),
         F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), (quality(text) if weight is None else weight).alias("w"),
     )
     items = written(rows.groupBy("source", "doc_id", "digest", "size").agg(F.count("*").alias("copies"), F.max("w").alias("w")), "mix-items")
     sources = items.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n_rows"))
     targets = written(source_targets(sources, weights, limit), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest").cast("string"), seed=seed)
+    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest"), seed=seed)
     keyed = items.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", -F.log(u) / F.greatest(F.col("w"), F.lit(1e-9)))
     # 1 - exp(-key) ascends with the key and spreads it over (0, 1)
     buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
@@ -101,7 +102,7 @@ def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """The mix itself, in the columns of ``docs``: a row as often as it is taken."""
     d = decisions(docs, doc_id=doc_id, text=text, source=source, **options)
     times = d.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("digest").alias("__d"), "copies", (F.col("epochs") * F.col("copies") + F.col("chosen")).alias("__n")).where("__n > 0").drop("copies")
-    marked = docs.withColumn("__t", F.xxhash64(text_or_empty(text)))
+    marked = docs.withColumn("__t", F.md5(text_or_empty(text)))
     on = marked[doc_id].eqNullSafe(F.col("__i")) & marked[source].eqNullSafe(F.col("__s")) & (F.col("__t") == F.col("__d"))
     # equal rows share one decision: the first stands for all
     one = marked.dropDuplicates([doc_id, source, "__t"])

@@ -76,4 +76,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_dedup, op2_packing, op3_token_counts, op4_token_output, op5_simhash, op6_toxicity, op7_media, op8_mixing, op9_quality, op10_license_scan)
 }
 
-ORACLE: dict[str, str] = {}
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, source, md5(t) AS digest, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size, length(t) AS n FROM d),
+i AS (SELECT *, (CASE WHEN size >= 50 THEN 1.0::DOUBLE ELSE 0.5 END) * (CASE WHEN n / greatest(size, 1) BETWEEN 4 AND 11 THEN 1.0 ELSE 0.5 END) AS w,
+  (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM b),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM i GROUP BY source),
+c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::DOUBLE AS every, sum(weight) OVER () AS total FROM s),
+f AS (SELECT *, (every - coalesce(sum(cap) OVER o, 0)) / (total - coalesce(sum(weight) OVER o, 0)) >= cap / weight AS capped FROM c
+  WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * ((every - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ()) END AS target FROM f),
+k AS (SELECT i.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS epochs,
+  row_number() OVER (PARTITION BY i.source, i.doc_id, i.digest) AS copy, coalesce(sum(size) OVER p, 0) AS before FROM i JOIN g ON i.source IS NOT DISTINCT FROM g.source
+  WINDOW p AS (PARTITION BY i.source ORDER BY -ln(u) / w, doc_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN size > 0 AND floor((target - epochs * source_size - before) / size + 0.5) >= 1 THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
+"""
+
+ORACLE: dict[str, str] = {"op8_mixing": MIXING_SQL}

@@ -118,6 +118,17 @@ def test_mixing_query(spark, sf):
         assert r.size == size[r.doc_id] and math.isclose(r.target, want[source[r.doc_id]], rel_tol=1e-9)
 
 
+def test_mixing_equals_its_sql(spark):
+    import duckdb
+
+    from tessellate.llm.queries import ORACLE
+
+    sf = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in duckdb.sql(ORACLE["op8_mixing"]).fetchall())
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in QUERIES["op8_mixing"](spark, sf).collect()) == want
+
+
 def brute_statistics(text):
     w, t = split(text), text or ""
     seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
