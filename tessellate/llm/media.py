@@ -1,6 +1,6 @@
 """Media columns: content-addressed payloads in tar shards, rows that point into them.
 
-A payload is stored once, as a grey 8-bit PNG of 64 samples a row, under its SHA-256, in a tar file
+A payload is stored once a task, as a grey 8-bit PNG of 64 samples a row, under its SHA-256, in a tar file
 of the shared folder. The index has digest, shard, offset and length. Metadata columns come from
 range reads of the header alone; samples and features from reads of the stored bytes.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, shuffle_width, small_batches, written
+from .shared import fresh_path, small_batches, written
 from .token_output import filesystem
 
 WIDTH = 64
@@ -86,27 +86,16 @@ def payloads(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return raw.select("doc_id", "n_bytes", F.concat("t", F.unhex(F.repeat(F.lit("00"), pad))).alias("payload"))
 
 
-def store_media(docs: DataFrame, *, folder: str, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Write each distinct payload once; returns the index ``digest, shard, begin, length``.
+def store_media(docs: DataFrame, *, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write payloads to tar shards; returns the index ``digest, shard, begin, length``, a row a digest.
 
-    Stored forms, not payloads, are shuffled, after equal payloads of a task are made one; so a
-    payload that many rows share reaches its writer at most once a task.
+    Each task stores a payload once, however many of its rows share it, so that no payload is
+    shuffled; of a payload that several tasks have stored, the index names one place.
     """
     small_batches(docs.sparkSession)
 
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            out = []
-            for digest, payload in zip(b[0].to_pylist(), b[1].to_pylist()):
-                key = bytes.fromhex(digest)
-                if key not in seen:
-                    seen.add(key)
-                    out.append((digest, to_png(payload)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["digest", "media"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, out, rows, name, at = set(), None, [], "", 0
+        seen, out, name, at = set(), None, "", 0
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
 
@@ -118,18 +107,19 @@ def store_media(docs: DataFrame, *, folder: str, doc_id: str = "doc_id", text: s
 
         for b in batches:
             rows = []
-            for digest, media in zip(b[0].to_pylist(), b[1].to_pylist()):
-                if (key := bytes.fromhex(digest)) in seen:
+            for key, payload in zip(b[0].to_pylist(), b[1].to_pylist()):
+                if key in seen:
                     continue
                 seen.add(key)
                 if out is None:  # a task that runs again writes under another name
                     name, at = f"media-{uuid.uuid4().hex}.tar", 0
                     out = store.open_output_stream(f"{root}/{name}")
-                info = tarfile.TarInfo(f"{digest[:60]}/{digest}.png")
+                media = to_png(payload)
+                info = tarfile.TarInfo(f"{key.hex()}.png")
                 info.size = len(media)
                 head = info.tobuf(tarfile.USTAR_FORMAT)
                 out.write(head + media + b"\0" * (-len(media) % 512))
-                rows.append({"digest": digest, "shard": f"{folder}/{name}", "begin": at + len(head), "length": len(media)})
+                rows.append({"digest": key, "shard": f"{folder}/{name}", "begin": at + len(head), "length": len(media)})
                 at += len(head) + len(media) + -len(media) % 512
                 if at >= SHARD_BYTES:
                     close()
@@ -138,9 +128,15 @@ def store_media(docs: DataFrame, *, folder: str, doc_id: str = "doc_id", text: s
         if out is not None:
             close()
 
-    distinct = payloads(docs, doc_id, text).select(F.sha2("payload", 256).alias("digest"), "payload").mapInArrow(render, "digest string, media binary")
-    n = partitions or shuffle_width(docs.sparkSession)
-    return written(distinct.repartition(n, "digest").mapInArrow(write, "digest string, shard string, begin long, length long"), "media-index")
+    marked = payloads(docs, doc_id, text).select(_digest().alias("digest"), "payload")
+    places = written(marked.mapInArrow(write, "digest binary, shard string, begin long, length long"), "media-places")
+    one = places.groupBy("digest").agg(F.min(F.struct("shard", "begin", "length")).alias("at"))
+    # in the order of the shards again, which the readers go through
+    return written(one.select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "begin"), "media-index")
+
+
+def _digest():
+    return F.unhex(F.sha2("payload", 256))
 
 
 def media_columns(index: DataFrame) -> DataFrame:
@@ -161,10 +157,10 @@ def media_columns(index: DataFrame) -> DataFrame:
 
 
 def media_features(index: DataFrame) -> DataFrame:
-    """What is read back: ``digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height``.
+    """``index`` with what is read back: ``payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height``.
 
     The header's range read gives width and height, the whole range the rest. Shards are opened
-    once for each run of rows; the index keeps the writers' order.
+    once for each run of rows of the index.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +178,7 @@ def media_features(index: DataFrame) -> DataFrame:
                 media = f.read_at(row["length"], row["begin"])
                 payload = from_png(media)
                 out.append({
-                    "digest": row["digest"], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
+                    **row, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
                     "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(payload), "width": meta["width"], "height": meta["height"],
                 })
             if out:
@@ -190,7 +186,7 @@ def media_features(index: DataFrame) -> DataFrame:
         if f:
             f.close()
 
-    return index.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
+    return index.mapInArrow(read, "digest binary, shard string, begin long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
 
 
 def media_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -202,6 +198,6 @@ def media_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     columns aren't read; an empty table stores nothing.
     """
     index = store_media(docs, folder=folder or fresh_path(docs.sparkSession, "media"), doc_id=doc_id, text=text)
-    found = written(media_features(index).join(index, "digest"), "media")
-    rows = payloads(docs, doc_id, text).select("doc_id", "n_bytes", F.sha2("payload", 256).alias("digest"))
+    found = written(media_features(index), "media")
+    rows = payloads(docs, doc_id, text).select("doc_id", "n_bytes", _digest().alias("digest"))
     return rows.join(found, "digest").drop("digest")
