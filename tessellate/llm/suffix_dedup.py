@@ -327,3 +327,46 @@ def dedup_suffixes(docs: DataFrame, *, min_len: int = 400, doc_id: str = "doc_id
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def without_repeats(docs: DataFrame, *, min_len: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of their texts; columns and rows as they were.
+
+    Cuts fall between characters: one that is covered in part stays whole. ``n_chars``, where the
+    table has it, follows the text. Null texts stay null.
+    """
+    small_batches(docs.sparkSession)
+    cut = written(repeated_intervals(_keys(docs, doc_id, text), min_len).distinct(), "intervals")
+    spans = cut.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__cut"))  # of one text
+    near = F.broadcast(cut.select(_bucket()).distinct())
+    keyed = docs.withColumn("k1__", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("k2__", F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
+    keyed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("k1__", "k2__"), F.lit(BUCKETS)))
+    near = near.withColumnRenamed("bucket", "__bucket")
+    clean = keyed.join(near, "__bucket", "left_anti").select(*docs.columns)
+    maybe = keyed.join(near, "__bucket", "left_semi").join(spans, (F.col("k1__") == F.col("k1")) & (F.col("k2__") == F.col("k2")), "left").select(*docs.columns, "__cut")
+    at, plain = docs.columns.index(text), docs.schema
+    n_chars = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns[:-1])
+            out = []
+            for t, ranges in zip(columns[at].to_pylist(), b[b.num_columns - 1].to_pylist()):
+                if t is not None and ranges:
+                    raw = t.encode()
+                    lo, hi = union_length(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]), len(raw))
+                    lo, hi = lo.tolist(), hi.tolist()
+                    inside = lambda p: p < len(raw) and raw[p] & 0xC0 == 0x80
+                    for k in range(len(lo)):
+                        while inside(lo[k]):
+                            lo[k] += 1
+                        while inside(hi[k]):
+                            hi[k] -= 1
+                    t = b"".join(raw[i:j] for i, j in zip([0, *hi], [*lo, len(raw)])).decode()
+                out.append(t)
+            columns[at] = pa.array(out, columns[at].type)
+            if n_chars is not None:
+                columns[n_chars] = pa.array([n if t is None else len(t) for n, t in zip(columns[n_chars].to_pylist(), out)], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return clean.unionByName(maybe.mapInArrow(remove, plain))
