@@ -10,6 +10,7 @@ largest marginal and their sum, a document's score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,8 +29,12 @@ STEMS = (4, 5, 6)
 #: Share of toxic documents, classes weighed alike, among those a feature must occur in.
 LEAST_SHARE = 0.95
 #: Features that may pass by chance alone.
-BY_CHANCE = 0.5
+BY_CHANCE = 0.01
+#: Overlap of words from which two documents of the sample count as copies.
+COPIES = 0.5
 STEPS, RATE, DECAY = 40, 0.5, 1e-4
+#: Marginals below this don't add up, however many a long text has.
+FAINT = 0.1
 CACHE = 300_000
 BLOCK = 128
 #: A-Z in lower case; ASCII that is neither letter nor digit parts tokens.
@@ -142,7 +147,7 @@ class Model:
 
     def score(self, p: np.ndarray) -> float:
         a, b, c = self.logit
-        z = a + b * float(p.max(initial=0.0)) + c * float(np.log1p(p.sum()))
+        z = a + b * float(p.max(initial=0.0)) + c * float(np.log1p(p[p >= FAINT].sum()))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def spans(self, text: bytes, p: np.ndarray) -> list[dict]:
@@ -162,29 +167,57 @@ class Model:
         return out
 
 
-def train(texts: list[bytes], labels: list[int]) -> Model:
-    """Fit the field and the score on labelled documents. Without both classes all scores are low."""
-    model = Model()
-    if len(set(labels)) < 2:
-        return model
-    docs = [tokens(t) for t in texts]
+def independent(docs: list[list[bytes]]) -> list[int]:
+    """Documents that are no copy of an earlier one: copies would pass their words off as frequent."""
+    kept, holders, sizes = [], {}, {}
+    for k, d in enumerate(docs):
+        words = set(d)
+        # a fixed eighth of all words stands for those of longer documents
+        mine = {w for w in words if len(words) < 64 or zlib.crc32(w) % 8 == 0}
+        shared = Counter(h for w in mine for h in holders.get(w, ()))
+        if any(n >= COPIES * (len(mine) + sizes[h] - n) for h, n in shared.items()):
+            continue
+        kept.append(k)
+        sizes[k] = len(mine)
+        for w in mine:
+            holders.setdefault(w, []).append(k)
+    return kept
+
+
+def marked_features(docs: list[list[bytes]], labels: list[int]) -> set[str]:
+    """Words and beginnings that toxic documents have and others hardly do, beyond chance."""
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    if not n1 or not n0:
+        return set()
     toxic, clean = Counter(), Counter()
-    stems: dict[str, set[bytes]] = {}
+    by_word: dict[str, Counter] = {}
     for d, y in zip(docs, labels):
-        seen = set()
-        for w in set(d):
-            for f in features(w):
-                seen.add(f)
-                if y and f[0] != "=":
-                    stems.setdefault(f, set()).add(w)
+        words = set(d)
+        seen = {f for w in words for f in features(w)}
         (toxic if y else clean).update(seen)
-    n1, n0 = sum(labels), len(labels) - sum(labels)
-    share = lambda f: (toxic[f] / n1) / (toxic[f] / n1 + clean[f] / n0)
+        for w in words:
+            for f in features(w)[1:]:
+                by_word.setdefault(f, Counter())[w] += 1
     # in how many toxic documents a feature must occur, so that few of as frequent ones do by chance
     frequent = np.bincount(list((toxic + clean).values()))[::-1].cumsum()[::-1]
     least = next((k for k in range(2, len(frequent)) if frequent[k] * (n1 / (n1 + n0)) ** k <= BY_CHANCE), len(frequent))
-    # a beginning counts only if several words share it: else the word itself says as much
-    marks = {f for f, n in toxic.items() if n >= least and share(f) >= LEAST_SHARE and (f[0] == "=" or len(stems[f]) >= 3)}
+    telling = lambda t, c: t >= least and t / n1 >= LEAST_SHARE * (t / n1 + c / n0)
+    marks = {f for f, t in toxic.items() if f[0] == "=" and telling(t, clean[f])}
+    # a beginning counts only if it still tells without its most frequent word
+    asked = {f: max(words.items(), key=lambda x: (x[1], x[0]))[0] for f, words in by_word.items() if len(words) >= 3 and telling(toxic[f], clean[f])}
+    rest: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    for d, y in zip(docs, labels):
+        rest[bool(y)].update({f for w in set(d) for f in features(w)[1:] if asked.get(f, w) != w})
+    return marks | {f for f in asked if telling(rest[True][f], rest[False][f])}
+
+
+def train(texts: list[bytes], labels: list[int]) -> Model:
+    """Fit the field and the score on labelled documents. Without both classes all scores are low."""
+    model = Model()
+    docs = [tokens(t) for t in texts]
+    own = independent(docs)
+    docs, labels = [docs[k] for k in own], [labels[k] for k in own]
+    marks = marked_features(docs, labels)
     if not marks:
         return model
     known = {f: k for k, f in enumerate(sorted(marks))}
@@ -225,7 +258,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     model.weights = {f: float(w[k]) for f, k in known.items()}
     model.bias, model.trans, model.start = float(bias), np.exp(trans), np.exp(start)
     ps = model.token_marginals(docs)
-    x = np.array([[1.0, p.max(initial=0.0), np.log1p(p.sum())] for p in ps])
+    x = np.array([[1.0, p.max(initial=0.0), np.log1p(p[p >= FAINT].sum())] for p in ps])
     target, b = np.array(labels, float), np.zeros(3)
     for _ in range(25):  # Newton's method with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
