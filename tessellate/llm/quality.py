@@ -19,11 +19,12 @@ SHARE, STEPS = 0.75, 4
 #: Groups with fewer rows share one estimate; a shared group that is still smaller judges nothing.
 LEAST_ROWS = 50
 #: Bins of the logarithm of the squared distance, in which the SHARE-th nearest row is found.
-BINS_A_UNIT = 200
-#: Least standard deviation of each transformed statistic: zero scatter must not reject small ones.
-FLOORS = (0.35, 0.10, 0.35, 0.35, 0.35)
+BINS_A_UNIT = 50
+#: Least standard deviation of each transformed statistic. Most texts have no symbol, repeated line or
+#: window at all; without it one repeated line, or a table's bars, would be infinitely far from them.
+FLOORS = (0.35, 0.10, 0.50, 1.00, 1.00)
 #: Squared Mahalanobis distance beyond which a text is an outlier.
-CUT = 60.0
+CUT = 40.0
 DIMS = len(FLOORS)
 
 
@@ -49,7 +50,6 @@ def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
     """The base statistics of every whole text, with the group key ``g``."""
     mark = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
     t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.concat(mark(lang), F.lit("\x00"), mark(source)).alias("g"))
-    # the first word's own position stands in for white space in front of it
     t = t.withColumn("words", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
     t = t.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)))
     t = t.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -86,19 +86,6 @@ def vector() -> list[Column]:
     ]
 
 
-def cholesky(cov: list[list[Column]]) -> list[list[Column]]:
-    """The lower factor, as columns that a later select may refer to."""
-    n = len(cov)
-    low: list[list[Column]] = [[None] * n for _ in range(n)]  # type: ignore[list-item]
-    for i in range(n):
-        for j in range(i + 1):
-            rest = cov[i][j]
-            for k in range(j):
-                rest = rest - low[i][k] * low[j][k]
-            low[i][j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / low[j][j]
-    return low
-
-
 def names(kind: str) -> list[str]:
     return [f"{kind}{i}{j}" for i in range(DIMS) for j in range(i + 1)]
 
