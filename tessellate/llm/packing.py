@@ -9,7 +9,6 @@ shrinks to the smallest length that holds its contents.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -18,7 +18,6 @@ Every step is a hash aggregate with map-side combination and a join whose skew i
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,7 +161,7 @@ def runs_of(data: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
 
 
-def union_length(begin: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal intervals of the union."""
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], np.maximum.accumulate(end[order])
@@ -313,7 +312,7 @@ def dedup_suffixes(docs: DataFrame, *, min_len: int = 400, doc_id: str = "doc_id
                     many.append(0)
                     kept.append(t)
                     continue
-                lo, hi = union_length(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]), len(t))
+                lo, hi = united(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
                 gone.append(int((hi - lo).sum()))
                 many.append(len(lo))
                 kept.append(b"".join(t[i:j] for i, j in zip([0, *hi.tolist()], [*lo.tolist(), len(t)])))
@@ -325,10 +324,6 @@ def dedup_suffixes(docs: DataFrame, *, min_len: int = 400, doc_id: str = "doc_id
     return clean.unionByName(done)
 
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def without_repeats(docs: DataFrame, *, min_len: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of their texts; columns and rows as they were.
 
@@ -354,7 +349,7 @@ def without_repeats(docs: DataFrame, *, min_len: int, doc_id: str = "doc_id", te
             for t, ranges in zip(columns[at].to_pylist(), b[b.num_columns - 1].to_pylist()):
                 if t is not None and ranges:
                     raw = t.encode()
-                    lo, hi = union_length(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]), len(raw))
+                    lo, hi = united(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
                     lo, hi = lo.tolist(), hi.tolist()
                     inside = lambda p: p < len(raw) and raw[p] & 0xC0 == 0x80
                     for k in range(len(lo)):
