@@ -25,13 +25,13 @@ def agg(spark, f, values, kind="int"):
     return spark.createDataFrame([(v,) for v in values], f"v {kind}").agg(f(F.col("v")).alias("x")).first().x
 
 
-@pytest.mark.parametrize("values,want", [([1, 3, 6, 6, 6, 7, 7, 7, 7, 12, 12, 17], 7), ([9, 2, 2, 3, 3, 1], 3), ([4, 4, 1, 8, 2, 2, 5, 8, 1], 4), ([], None)])
+@pytest.mark.parametrize("values,want", [([17, 3, 1] + [7] * 4 + [6] * 3 + [12] * 2, 7), ([3, 3, 9, 1, 2, 2], 3), ([8] * 2 + [1, 2, 4] * 2 + [5], 4), ([], None)])
 def test_median(spark, values, want):
     assert agg(spark, A.median, values) == want
 
 
 def test_mode_and_ranges(spark):
-    assert agg(spark, A.mode, [1, 4, 5, 6, 1, 3, 4, 1, 4, 9, 3, 4]) == 4
+    assert agg(spark, A.mode, [4] * 4 + [1] * 3 + [3] * 2 + [5, 6, 9]) == 4
     assert (agg(spark, A.minrange, [1, 4, 8, 13, 19]), agg(spark, A.avgrange, [1, 4, 8, 13, 19]), agg(spark, A.value_range, [1, 4, 8, 13, 19])) == (3, 4.5, 18)
     assert agg(spark, A.value_range, [19, 4, 5, 20, 5, 8]) == 16
     assert (agg(spark, A.minrange, [7]), agg(spark, A.avgrange, [7]), agg(spark, A.minrange, []), agg(spark, A.avgrange, [])) == (0, 0.0, None, None)
@@ -40,15 +40,15 @@ def test_mode_and_ranges(spark):
 
 def test_time_gaps(spark):
     at = lambda *s: [dt.datetime(2020, 1, 1) + dt.timedelta(seconds=x) for x in s]
-    times = at(10, 15, 22, 52, 18, 41, 2, 33)
+    times = at(52, 41, 33, *(22, 18, 15), 10, 2)
     assert agg(spark, A.mintdiff, times, "timestamp_ntz") == 3 and round(agg(spark, A.avgtdiff, times, "timestamp_ntz"), 1) == 7.1
     assert agg(spark, A.mintdiff, times + at(22), "timestamp_ntz") == 0 and agg(spark, A.duration, times, "timestamp_ntz") == 50
     assert (agg(spark, A.mintdiff, at(1), "timestamp_ntz"), agg(spark, A.avgtdiff, at(1), "timestamp_ntz"), agg(spark, A.avgtdiff, [], "timestamp_ntz")) == (None, 0.0, None)
 
 
 def test_human_delta(spark):
-    want = ["0 seconds", "1 second", "30 seconds", "5 minutes", "1 hour", "2 hours, 5 minutes, 30 seconds", "3 days, 11 hours, 20 minutes", None]
-    assert many(spark, text.human_delta, [0, 1, 30, 300, 3600, 7530, 300000, None], "int") == want
+    want = {300000: "3 days, 11 hours, 20 minutes", 7530: "2 hours, 5 minutes, 30 seconds", 3600: "1 hour", 300: "5 minutes", 30: "30 seconds", 1: "1 second", 0: "0 seconds", None: None}
+    assert many(spark, text.human_delta, list(want), "int") == list(want.values())
 
 
 def test_text_library(spark):
@@ -144,25 +144,28 @@ def test_maps_and_arrays(spark):
     assert one(spark, C.contains(a, 1, 3)) and not one(spark, C.contains(a, 4)) and one(spark, C.contained_by(a, 1, 2, 3, 4)) and one(spark, C.upper(a)) == 3
 
 
-CORPUS = ["A faith is a necessity to a man. Woe to him who believes in nothing.", "All who call on God in true faith, earnestly from the heart, will be heard.", "Be faithful in small things because it is in them that your strength lies.", "Faith consists in believing when it is beyond the power of reason to believe.", "Faith has to do with things that are not seen and hope with things not at hand."]
+CORPUS = [
+    "Rivers run to the sea, and rivers keep their names until then.", "The harbour master counts boats at dawn: three boats, two rivers, one old light.", "Be careful on the ice; riverside paths freeze first.",
+    "Rivers and roads carry the same grain to the same mill.", "Rivers feed many things: meadows, mills and things nobody has counted.",
+]
 
 
 def test_search_scores(spark):
     docs = spark.createDataFrame([(k, t, t.split()[0], None) for k, t in enumerate(CORPUS)], "id int, t string, u string, n string")
     for kind in ("rank", "bm25", "bm25f", "lucene"):
-        got = search.search(docs, ["t"], "things faith", kind).collect()
+        got = search.search(docs, ["t"], "things rivers", kind).collect()
         assert [r.id for r in got] == [4]
-    index = search.Index(docs, ["t", "u"], "faith")
-    assert index.stats["df_t_0"] == 4 and index.stats["df_u_0"] == 2 and search.weights_of([2], ["t", "u"]) == [2.0, 0.0]
+    index = search.Index(docs, ["t", "u"], "rivers")
+    assert index.stats["df_t_0"] == 4 and index.stats["df_u_0"] == 3 and search.weights_of([2], ["t", "u"]) == [2.0, 0.0]
     off = index.docs.select(index.bm25([0, 0]).alias("x"), index.lucene({"u": 1}).alias("y")).collect()
-    assert {r.x for r in off} == {0.0} and sum(r.y != 0 for r in off) == 2
+    assert {r.x for r in off} == {0.0} and sum(r.y != 0 for r in off) == 3
     found = lambda q: [r.id for r in docs.where(search.web_query(q, ["t", "u"])).orderBy("id").collect()]
-    assert found('"true faith"') == [1] and found("faith -things") == [0, 1, 3] and found("god OR strength") == [1, 2] and found("u:be") == [2] and found("faithf*") == [2] and found("") == []
-    assert found("NOT faith") == [2] and found("(god OR woe) faith") == [0, 1]
-    assert one(spark, search.highlight(F.lit("Faith, faithful"), "faith")) == "<b>Faith</b>, faithful"
+    assert found('"old light"') == [1] and found("rivers -things") == [0, 1, 3] and found("boats OR ice") == [1, 2] and found("u:be") == [2] and found("riversi*") == [2] and found("") == []
+    assert found("NOT rivers") == [2] and found("(dawn OR sea) rivers") == [0, 1]
+    assert one(spark, search.highlight(F.lit("Rivers, riverside"), "rivers")) == "<b>Rivers</b>, riverside"
     assert one(spark, search.snippet(F.lit("a b c d e f g h"), "f", 4)) == "...c d e f..."
     assert search.validate_query('"a b" c*') and not search.validate_query("a;b")
-    assert {r.term: (r.doc, r.cnt) for r in search.vocabulary(docs, "t").collect()}["faith"] == (4, 4)
+    assert {r.term: (r.doc, r.cnt) for r in search.vocabulary(docs, "t").collect()}["rivers"] == (4, 5)
 
 
 def test_user_functions(spark):
