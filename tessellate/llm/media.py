@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, small_batches, written
+from .shared import fresh_path, shuffle_width, small_batches, written
 from .token_output import filesystem
 
 WIDTH = 64
@@ -131,8 +131,7 @@ def store_media(docs: DataFrame, *, folder: str, doc_id: str = "doc_id", text: s
     marked = payloads(docs, doc_id, text).select(_digest().alias("digest"), "payload")
     places = written(marked.mapInArrow(write, "digest binary, shard string, begin long, length long"), "media-places")
     one = places.groupBy("digest").agg(F.min(F.struct("shard", "begin", "length")).alias("at"))
-    # in the order of the shards again, which the readers go through
-    return written(one.select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "begin"), "media-index")
+    return written(one.select("digest", "at.*"), "media-index")
 
 
 def _digest():
@@ -159,8 +158,8 @@ def media_columns(index: DataFrame) -> DataFrame:
 def media_features(index: DataFrame) -> DataFrame:
     """``index`` with what is read back: ``payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height``.
 
-    The header's range read gives width and height, the whole range the rest. Shards are opened
-    once for each run of rows of the index.
+    The header's range read gives width and height, the whole range the rest. Each shard is read by
+    one task, in the order of its places.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +185,9 @@ def media_features(index: DataFrame) -> DataFrame:
         if f:
             f.close()
 
-    return index.mapInArrow(read, "digest binary, shard string, begin long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
+    # a set number of partitions: the index is so small that its tasks would be merged into one
+    ordered = index.repartition(shuffle_width(index.sparkSession), "shard").sortWithinPartitions("shard", "begin")
+    return ordered.mapInArrow(read, "digest binary, shard string, begin long, length long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
 
 
 def media_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
