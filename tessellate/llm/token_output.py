@@ -10,8 +10,10 @@ back with select: ``((position of the i-th set bit - i) << low) | low bits``. Th
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,9 @@ MAGIC, HEADER = b"TIDS", struct.Struct("<4sHHqqq")
 #: Every SAMPLE-th set bit of the high part has its position stored.
 SAMPLE = 64
 #: Chunks and words that a worker remembers.
-CACHE = 400_000
+CACHE = 500_000
+#: Bytes of texts whose new chunks are learned together.
+HELD = 4 << 20
 
 
 class EliasFano:
@@ -100,7 +104,8 @@ class Encoder:
     chunk's normal form and its BPE come from the library's own normalizer and model.
     """
 
-    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    #: The vocabulary's pattern, and a space as the mark between chunks.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+| "
 
     def __init__(self, path: str):
         import regex
@@ -113,42 +118,69 @@ class Encoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.table = {i: c for i, c in enumerate(byte_symbols())}
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "<u2" if self.width == 2 else "<u4"
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def word(self, w: str) -> bytes:
-        out = self.words.get(w)
-        if out is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
+        x = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            x.byteswap()
+        return x.tobytes()
+
+    def learn_words(self, words: set[str]) -> None:
+        if len(self.words) > CACHE:
+            self.words.clear()
+        tokenize = self.lib.model.tokenize
+        for w in words.difference(self.words):
             plain = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.table)
-            out = self.words[w] = self.ids([t.id for t in self.lib.model.tokenize(plain)])
+            self.words[w] = self.ids([t.id for t in tokenize(plain)])
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """All chunks in one pass: normalised together, cut together, each word once."""
+        text = b" ".join(chunks).decode()
+        if len(chunks) > 1 and (any(x in text for x in self.special) or text.split() != text.split(" ")):
+            for c in chunks:  # a special string or other white space within: one by one
+                self.learn([c])
+            return
+        if any(x in text for x in self.special):
+            self.chunks[chunks[0]] = self.ids(self.lib.encode(text, add_special_tokens=False).ids)
+            return
+        found = self.find(text.lower() if text.isascii() else self.lib.normalizer.normalize_str(text))
+        self.learn_words({w for w in found if w != " "})
+        words = self.words
+        if len(chunks) == 1:
+            self.chunks[chunks[0]] = b"".join([words[w] for w in found if w != " "])
+            return
+        out, run = [], b""
+        for w in found:
+            if w == " ":
+                out.append(run)
+                run = b""
+            else:
+                run += words[w]
+        out.append(run)
+        self.chunks.update(zip(chunks, out, strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text. Texts are taken together up to HELD bytes."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= HELD):
+                size += len(texts[end])
+                end += 1
+            lists = [t.split() for t in texts[at:end]]
+            if len(self.chunks) > CACHE:
+                self.chunks.clear()
+            new = set().union(*lists).difference(self.chunks)
+            if new:
+                self.learn(list(new))
+            get = self.chunks.__getitem__
+            out.extend(b"".join(map(get, x)) for x in lists)
+            at = end
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        for c in chunks:
-            if c not in self.chunks:
-                s = c.decode()
-                if any(x in s for x in self.special):
-                    self.chunks[c] = self.ids(self.lib.encode(s, add_special_tokens=False).ids)
-                else:
-                    s = s.lower() if s.isascii() else self.lib.normalizer.normalize_str(s)
-                    self.chunks[c] = b"".join([self.word(w) for w in self.find(s)])
-
-    def encode(self, text: bytes) -> bytes:
-        chunks = text.split()
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.chunks.__getitem__, chunks))
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -201,8 +233,8 @@ def write_token_shards(docs: DataFrame, vocabulary: str, *, end_id: int, folder:
             return row
 
         for b in batches:
-            for i, t in zip(b[0].to_pylist(), b[1].to_pylist()):
-                x = enc.encode(t) + end
+            for i, x in zip(b[0].to_pylist(), enc.encode(b[1].to_pylist())):
+                x += end
                 ids.append(x)
                 sizes.append(len(x) // enc.width)
                 rows.append(i)
