@@ -3,9 +3,10 @@
 Texts whose five-word shingles overlap by 0.8 differ in 5 to 17 of 64 fingerprint bits (median 10),
 and at such a radius a vantage-point tree prunes nothing. So the tree gives the links within
 ``radius`` bits, exactly, and the links beyond come from banded min-hashes of the same shingle
-hashes: in each band a text is compared with the smallest text of its bucket only, and a link needs
-a Jaccard similarity of ``similarity`` or more. That is measured on bottom-k sketches, which are
-the whole shingle sets of texts up to ``SKETCH`` shingles.
+hashes: in each band a text is compared with the smallest text of its bucket, then with all others
+of the bucket that no link has joined to it yet, in blocks. A link needs a Jaccard similarity of
+``similarity`` or more. The first is measured on bottom-k sketches, which are the whole shingle
+sets of texts up to ``SKETCH`` shingles, the second on whole sets.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, local_roots
 from .shared import small_batches, written
 from .simhash import SEED, fingerprint_links
 
 BANDS, ROWS, SKETCH = 16, 4, 512
 BUCKETS = 1 << 18
+#: Texts of a block: two blocks of whole shingle sets are compared in memory.
+BLOCK = 128
 #: Odd multipliers of the min-hash permutations.
 FACTORS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +71,73 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).sum() / max(1, len(union)))
 
 
+def similar(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ``similarity`` or more between whole shingle sets ``x`` and ``y``, or within ``x``."""
+    other = x if y is None else y
+    _, ids = np.unique(np.concatenate(x + (y or [])), return_inverse=True)
+    sizes, n = np.array([len(s) for s in other]), sum(map(len, x))
+    theirs = ids if y is None else ids[n:]
+    starts, marked = np.r_[0, np.cumsum(sizes)[:-1]], np.zeros(ids.max() + 1, bool)
+    found, at = [], 0
+    for k, s in enumerate(x):
+        mine = ids[at : at + len(s)]
+        at += len(s)
+        marked[mine] = True
+        both = np.add.reduceat(marked[theirs], starts, dtype=np.int64)
+        marked[mine] = False
+        hits = np.flatnonzero(both / (len(s) + sizes - both) >= similarity)
+        hits = hits[hits > k] if y is None else hits
+        found.append((np.full(len(hits), k), hits))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def rest_links(each: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Links between texts of one bucket that are not ``joined`` yet: every pair of them is compared.
+
+    A group of ``BLOCK`` texts and more has blocks of its own, which aren't compared with each
+    other; the smaller groups of a bucket share blocks. None where every bucket is one group.
+    """
+    rooted = each.join(joined.select(F.col("node").alias("digest"), "root"), "digest", "left").select("band", "digest", F.coalesce("root", "digest").alias("root"))
+    groups = written(rooted.groupBy("band", "root").agg(F.count("*").alias("n")), "bucket-groups")
+    mixed = groups.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    part = F.when(F.col("n") >= BLOCK, F.col("root"))
+    groups = groups.join(mixed, "band", "left_semi").select("band", "root", "n", part.alias("part"))
+    parts = groups.groupBy("band", "part").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    parts = written(parts.select(F.col("band").alias("in"), F.col("part").alias("of"), "blocks"), "bucket-parts")
+    if parts.isEmpty():
+        return None
+    label = F.xxhash64(F.col("of").isNull(), "of", "k").alias("label")
+    labels = written(parts.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(F.col("in").alias("band"), "of", label), "blocks")
+    x, y = labels.select("band", F.col("of").alias("p"), F.col("label").alias("x")), labels.select("band", F.col("of").alias("q"), F.col("label").alias("y"))
+    pairs = x.join(y, "band").where("x <= y and (p is null or q is null or p <> q)").select("band", "x", "y", F.xxhash64("band", "x", "y").alias("task"))
+    sides = written(pairs.select("band", F.explode(F.array(F.struct("task", F.col("x").alias("label"), F.lit(0).alias("side")), F.struct("task", F.col("y").alias("label"), F.when(F.col("x") < F.col("y"), 1).alias("side")))).alias("s")).select("band", "s.*").where("side is not null"), "sides")
+    at = F.col("band").eqNullSafe(F.col("in")) & F.col("part").eqNullSafe(F.col("of"))
+    members = rooted.join(groups.select("band", "root", "part"), ["band", "root"]).join(parts, at)
+    members = members.withColumn("k", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("blocks"))).select("band", "digest", label)
+    loaded = members.join(sides, ["band", "label"]).select("task", "side", "digest").join(sets, "digest").select("task", "side", "digest", "hashes")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side = t["side"].to_numpy()
+        order = np.argsort(side, kind="stable")
+        digests, n = t["digest"].to_numpy()[order], int((side == 0).sum())
+        hashes = t["hashes"].to_pylist()
+        data = [np.frombuffer(hashes[i], np.uint64) for i in order]
+        none = np.zeros(0, np.int64)
+        if n == 0 or (len(data) > n) != bool(side.any()):
+            a = b = none
+        elif len(data) > n:
+            a, b = similar(data[:n], data[n:], similarity)
+            b = b + n
+        else:
+            a, b = similar(data, None, similarity)
+        # as many links as texts: each one's to the first of its group
+        root = local_roots(len(digests), a, b)
+        moved = np.flatnonzero(root != np.arange(len(digests)))
+        return pa.table({"a": pa.array(digests[moved], pa.int64()), "b": pa.array(digests[root[moved]], pa.int64())})
+
+    return loaded.groupBy("task").applyInArrow(compare, "a long, b long")
+
+
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
     """``digest, root``: the group of each distinct text that is not its group's first."""
     spark = docs.sparkSession
@@ -94,13 +164,14 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).alias("bucket")
     near = F.broadcast(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).select(bucket).distinct())
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.unique(shingle_hashes(t, width))[:SKETCH].tobytes() for t in b[1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(out, pa.binary())], ["digest", "sketch"])
+            out = [np.unique(shingle_hashes(t, width)).tobytes() for t in b[1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(out, pa.binary())], ["digest", "hashes"])
 
     some = raw.withColumn("bucket", bucket).join(near, "bucket", "left_semi").select("digest", "t")
-    sketches = written(some.mapInArrow(sketch, "digest long, sketch binary").groupBy("digest").agg(F.first("sketch").alias("sketch")), "sketches")
+    sets = written(some.mapInArrow(shingles, "digest long, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes")), "shingles")
+    sketches = sets.select("digest", F.substring("hashes", 1, 8 * SKETCH).alias("sketch"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,7 +180,11 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     left, right = sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("y"))
     wide = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    return components(written(links.unionByName(equal).unionByName(wide), "near-links")).select(F.col("node").alias("digest"), "root")
+    joined = written(components(written(links.unionByName(equal).unionByName(wide), "near-links")), "joined")
+    rest = rest_links(each, joined, sets, similarity)
+    if rest is not None:
+        joined = components(written(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "all-links"))
+    return joined.select(F.col("node").alias("digest"), "root")
 
 
 def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
