@@ -5,8 +5,9 @@ and at such a radius a vantage-point tree prunes nothing. So the tree gives the
 ``radius`` bits, exactly, and the links beyond come from banded min-hashes of the same shingle
 hashes: in each band a text is compared with the smallest text of its bucket, then with all others
 of the bucket that no link has joined to it yet, in blocks. A link needs a Jaccard similarity of
-``similarity`` or more. The first is measured on bottom-k sketches, which are the whole shingle
-sets of texts up to ``SKETCH`` shingles, the second on whole sets.
+``similarity`` or more. It is measured on whole shingle sets; only where two texts of over ``SKETCH``
+shingles are compared with their bucket's smallest does a bottom-k sketch decide what it puts
+``MARGIN`` deviations or more from ``similarity``.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .shared import small_batches, written
 from .simhash import SEED, fingerprint_links
 
 BANDS, ROWS, SKETCH = 16, 4, 512
+#: Deviations of a sketch's estimate within which whole sets decide.
+MARGIN = 6
 BUCKETS = 1 << 18
 #: Texts of a block: two blocks of whole shingle sets are compared in memory.
 BLOCK = 128
@@ -171,15 +174,26 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     some = raw.withColumn("bucket", bucket).join(near, "bucket", "left_semi").select("digest", "t")
     sets = written(some.mapInArrow(shingles, "digest long, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes")), "shingles")
-    sketches = sets.select("digest", F.substring("hashes", 1, 8 * SKETCH).alias("sketch"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(b[2].to_pylist(), b[3].to_pylist())]
+            both = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b[2].to_pylist(), b[3].to_pylist())]
+            share = np.array([jaccard(x, y) for x, y in both])
+            whole = np.array([len(x) < SKETCH and len(y) < SKETCH for x, y in both], bool)
+            sure = whole | (np.abs(share - similarity) >= MARGIN * (similarity * (1 - similarity) / SKETCH) ** 0.5)
+            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(~sure | (share >= similarity)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [len(similar([np.frombuffer(x, np.uint64)], [np.frombuffer(y, np.uint64)], similarity)[0]) > 0 for x, y in zip(b[2].to_pylist(), b[3].to_pylist())]
             yield pa.RecordBatch.from_arrays([b[0], b[1]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("y"))
-    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    def beside(links: DataFrame, column: str) -> DataFrame:
+        left, right = (sets.select(F.col("digest").alias(k), F.expr(column).alias(f"of_{k}")) for k in "ab")
+        return links.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+
+    seen = written(beside(pairs, f"substring(hashes, 1, {8 * SKETCH})").mapInArrow(verify, "a long, b long, sure boolean"), "measured")
+    wide = seen.where("sure").select("a", "b").union(beside(seen.where("not sure").select("a", "b"), "hashes").mapInArrow(measure, "a long, b long"))
     joined = written(components(written(links.unionByName(equal).unionByName(wide), "near-links")), "joined")
     rest = rest_links(each, joined, sets, similarity)
     if rest is not None:
