@@ -22,9 +22,8 @@ LEAST_ROWS = 50
 BINS_A_UNIT = 50
 #: Least standard deviation of each transformed statistic. Most texts have no symbol, repeated line or
 #: window at all; without it one repeated line, or a table's bars, would be infinitely far from them.
-FLOORS = (0.35, 0.10, 0.50, 1.00, 1.00)
-#: Squared Mahalanobis distance beyond which a text is an outlier.
-CUT = 40.0
+#: Repeated lines reach log1p(100), repeated words log1p(30) before the base rule fails: over 20.5 each.
+FLOORS = (0.35, 0.10, 0.50, 0.90, 0.70)
 DIMS = len(FLOORS)
 
 
@@ -37,13 +36,21 @@ def chi2_cdf(x: float, k: int) -> float:
     return total * math.exp(-x / 2) * (x / 2) ** (k / 2)
 
 
-def consistency(share: float, dims: int) -> float:
-    """What the scatter of the nearest ``share`` of a normal sample must be multiplied by."""
+def chi2_quantile(share: float, k: int) -> float:
     low, high = 0.0, 200.0
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if chi2_cdf(mid, dims) < share else (low, mid)
-    return share / chi2_cdf(low, dims + 2)
+        low, high = (mid, high) if chi2_cdf(mid, k) < share else (low, mid)
+    return low
+
+
+def consistency(share: float, dims: int) -> float:
+    """What the scatter of the nearest ``share`` of a normal sample must be multiplied by."""
+    return share / chi2_cdf(chi2_quantile(share, dims), dims + 2)
+
+
+#: Squared Mahalanobis distance beyond which a text is an outlier: one in a thousand of a normal sample.
+CUT = chi2_quantile(0.999, DIMS)
 
 
 def statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -178,6 +178,23 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert got[3001].base_failed and not got[3001].kept and not got[3002].kept
 
 
+def test_each_kind_of_junk_goes(spark):
+    rng = random.Random(5)
+    rows = [(i, words(rng, int(math.exp(rng.gauss(5, 0.7))) + 20)) for i in range(400)]
+    bars = words(rng, 120).split()
+    few, passage = words(rng, 6).split(), words(rng, 22)
+    rows += [(1000, "\n".join(rng.choices(few, k=120))), (1001, " | ".join(bars)), (1002, passage + " " + words(rng, 110) + " " + passage)]
+    got = {r.doc_id: r for r in quality.quality_rules(table(spark, rows)).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in (1000, 1001, 1002))
+    assert sum(got[i].kept for i in range(400)) >= 398
+
+
+def test_every_statistic_alone_can_reject():
+    tops = (math.log1p(100), math.log1p(30))
+    assert all((top / floor) ** 2 > quality.CUT for top, floor in zip(tops, quality.FLOORS[3:]))
+    assert math.isclose(quality.CUT, 20.515, abs_tol=1e-3)
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.quality_rules(table(spark, [])).collect() == []
 
