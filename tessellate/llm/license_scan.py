@@ -70,25 +70,39 @@ class Scanner:
             out.append(words)
         return out
 
-    def best(self, words: list[bytes], present: set[bytes], k: int) -> tuple[float, int]:
-        """Highest containment of template k in any block of the text, and where that block begins."""
+    def stretches(self, words: list[bytes], present: set[bytes], k: int) -> list[tuple[int, int, float]]:
+        """Maximal stretches of overlapping or adjoining blocks that hold template k: first word, end, highest containment.
+
+        Blocks lie within the text; a text shorter than a block is one block.
+        """
         _, tokens, need, span = self.templates[k]
         if len(words) < need or len(tokens & present) < need:
-            return 0.0, -1
+            return []
         where = [i for i, w in enumerate(words) if w in tokens]
+        last = max(0, len(words) - span)
+        # the tokens inside a block change only where one enters or leaves
+        steps = sorted({0, *(i - span + 1 for i in where if 0 < i - span + 1 <= last), *(i + 1 for i in where if i < last)})
         inside: Counter = Counter()
-        top, begin, left = 0, -1, 0
-        for i in where:
-            inside[words[i]] += 1
-            while i - where[left] >= span:
+        left = right = 0
+        out: list[tuple[int, int, float]] = []
+        for begin, after in zip(steps, [*steps[1:], last + 1]):
+            while right < len(where) and where[right] < begin + span:
+                inside[words[where[right]]] += 1
+                right += 1
+            while left < right and where[left] < begin:
                 w = words[where[left]]
                 inside[w] -= 1
                 if not inside[w]:
                     del inside[w]
                 left += 1
-            if len(inside) > top:
-                top, begin = len(inside), where[left]
-        return (top / len(tokens), begin) if top >= need else (0.0, -1)
+            if len(inside) < need:
+                continue
+            end, share = min(len(words), after - 1 + span), len(inside) / len(tokens)
+            if out and out[-1][1] >= begin:
+                out[-1] = (out[-1][0], end, max(out[-1][2], share))
+            else:
+                out.append((begin, end, share))
+        return out
 
     def scan(self, text: bytes) -> dict:
         words = text.translate(TABLE).split()
@@ -101,10 +115,9 @@ class Scanner:
         if present:
             every = set(words)
             for k in sorted({k for t in present for k in self.prefix[t]}):
-                share, begin = self.best(words, every, k)
-                if share:
+                for begin, end, share in self.stretches(words, every, k):
                     labels.add(self.templates[k][0])
-                    blocks.append({"label": self.templates[k][0], "word": begin, "containment": share})
+                    blocks.append({"label": self.templates[k][0], "word": begin, "end": end, "containment": share})
                     score = max(score, share)
         at = [p for p, _ in hits]
         return {"n_words": len(words), "n_base": len(hits), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "blocks": blocks}
@@ -130,7 +143,7 @@ def token_frequency(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_
     return {r.token: r.n for r in rows.collect()}
 
 
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,word:long,containment:double>>"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,word:long,end:long,containment:double>>"
 
 
 def license_scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates=TEMPLATES, threshold: float = 0.9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,8 +151,9 @@ def license_scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, temp
 
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks``,
     a row for each input row, repeated rows included. ``score`` is 1 with a phrase, else the highest
-    containment that meets the threshold, else 0. ``blocks`` has each template found, its best
-    block's first word (ties: the earliest) and containment. A null text counts as empty: no words,
+    containment that meets the threshold, else 0. ``blocks`` has every
+    maximal stretch of overlapping or adjoining blocks that meet the threshold, by template and place:
+    first word, end (exclusive) and the highest containment of a block in it. A null text counts as empty: no words,
     null places, empty labels, score 0. Null ids stay; other columns aren't read.
     """
     frequency = token_frequency(docs, templates, doc_id=doc_id, text=text)
@@ -147,7 +161,7 @@ def license_scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, temp
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("containment", pa.float64())]))
+        block = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), block]
         for b in batches:
             found = [scanner.scan(t) for t in b[1].to_pylist()]
@@ -168,4 +182,24 @@ def brute_blocks(text: str, templates=TEMPLATES, threshold: float = 0.9) -> set[
     return out
 
 
-
+def brute_stretches(text: str, templates=TEMPLATES, threshold: float = 0.9) -> list[tuple[str, int, int, float]]:
+    """Stretches found by looking at every window of words: for tests."""
+    words, out = text.encode().translate(TABLE).split(), []
+    for label, x in templates:
+        tokens = {t.encode() for t in x.split()}
+        need, span = math.ceil(threshold * len(tokens) - 1e-9), math.ceil(SPAN * len(tokens))
+        covered, top = [False] * len(words), [0.0] * len(words)
+        for i in range(max(0, len(words) - span) + 1):
+            n = len(tokens.intersection(words[i : i + span]))
+            if n >= need:
+                for j in range(i, min(len(words), i + span)):
+                    covered[j], top[j] = True, max(top[j], n / len(tokens))
+        i = 0
+        while i < len(words):
+            j = i
+            while j < len(words) and covered[j]:
+                j += 1
+            if j > i:
+                out.append((label, i, j, max(top[i:j])))
+            i = j + 1
+    return sorted(out)

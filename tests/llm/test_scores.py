@@ -53,6 +53,18 @@ def test_license_scan_is_exact(spark):
     assert sum(bool(r.blocks) for r in got) > len(license_scan.TEMPLATES)
 
 
+def test_every_block_of_a_template_is_found(spark):
+    rng = random.Random(12)
+    rows = [r for r in license_rows() if len(r[1] or "") < 5000]
+    mit, bsd = license_scan.TEMPLATES[0][1], license_scan.TEMPLATES[7][1]
+    rows.append((2000, " ".join([words(rng, 40), mit, words(rng, 50), mit, mit, words(rng, 3), bsd, words(rng, 90), bsd, words(rng, 30), mit])))
+    got = license_scan.license_scan(table(spark, rows)).collect()
+    have = sorted(((str(r.doc_id), sorted((b.label, b.word, b.end, b.containment) for b in r.blocks)) for r in got), key=str)
+    assert have == sorted(((str(i), license_scan.brute_stretches(t or "")) for i, t in rows), key=str)
+    assert sum(b.label == "bsd" for r in got if r.doc_id == 2000 for b in r.blocks) == 2
+    assert sum(b.label == "mit" for r in got if r.doc_id == 2000 for b in r.blocks) > 2
+
+
 def test_license_scan_counts_all_documents(spark):
     rows = [(1, "the mit the"), (2, "The license"), (3, None)]
     n = license_scan.token_frequency(table(spark, rows))
