@@ -28,8 +28,9 @@ def vocabulary(name: str) -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_suffixes(documents(spark, sf_dir), min_len=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # repeats of 400 bytes; passages of little over fifty words are shorter, so the text goes by 250
+    out = dedup_suffixes(documents(spark, sf_dir), min_len=400, passage_len=250)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "passage_bytes", "passage_spans", "text")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

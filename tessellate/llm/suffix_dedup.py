@@ -10,10 +10,12 @@ texts would need many times their size, so the corpus is first cut down, exactly
    one anchor are a *run*. Only runs that share their anchor with another run can hold repeats.
 2. Runs of equal content are repeats as a whole.
 3. Of what remains (edges of repeated passages) blocks of ``BLOCK`` windows are compared by their
-   common core and as a whole, and blocks that share the core alone by single windows. Each
-   task orders its windows as suffixes first, and sends one row for each class.
+   common core and as a whole.
+4. Blocks that share the core alone are decided by the suffix sort, window by window: within each
+   batch first, which sends one suffix for each class, then over ranges of the suffixes' bytes.
 
-Every step is a hash aggregate with map-side combination and a join whose skew is split.
+The exact reductions are hash aggregates with map-side combination and joins whose skew is split;
+two runs or blocks count as equal if 128 bits of their hashes are.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BLOCK = 16
 PIECE = 1 << 20
 #: Buckets of the filter that keeps texts without candidates out of the shuffle: a proven bound.
 BUCKETS = 1 << 18
+#: Suffixes of a range that one task sorts, on average.
+SORTED = 20_000
 
 
 def anchor_length(min_len: int) -> int:
@@ -78,13 +82,16 @@ def second(h: np.ndarray, salt: int) -> np.ndarray:
 def common(hashes: Hashes, a: np.ndarray, b: np.ndarray, limit: int, n: int) -> np.ndarray:
     """Length of the common extension of each pair of suffixes, up to ``limit``: binary search."""
     low, high = np.zeros(len(a), np.int64), np.minimum(limit, n - np.maximum(a, b))
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
-        mid = (low + high + 1) // 2
-        same = hashes.of(a, a + mid) == hashes.of(b, b + mid)
-        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+    # most pairs that get here agree as far as they may
+    same = hashes.of(a, a + high) == hashes.of(b, b + high)
+    low[same] = high[same]
+    open_ = np.flatnonzero(low < high)
+    while open_.size:
+        x, y, mid = a[open_], b[open_], (low[open_] + high[open_] + 1) // 2
+        same = hashes.of(x, x + mid) == hashes.of(y, y + mid)
+        low[open_[same]], high[open_[~same]] = mid[same], mid[~same] - 1
+        open_ = open_[low[open_] < high[open_]]
+    return low
 
 
 def sort_suffixes(data: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +101,22 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndar
     run together: each step takes from every pair of sorted lists the smaller head, found through
     the common extension. Where a whole ``limit`` agrees by hash, bytes are compared too.
     """
-    n, hashes = len(data), Hashes(data)
+    n, hashes, head = len(data), Hashes(data), min(8, limit)
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    first = np.zeros(n, np.uint64)  # a suffix's first bytes as a number
+    for k in range(head):
+        first = (first << np.uint64(8)) | padded[k : k + n]
 
     def less_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = first[a], first[b]
+        out = x < y
+        open_ = np.flatnonzero(x == y)
+        a, b = a[open_], b[open_]
         ext = common(hashes, a, b, limit, n)
         done = (ext == limit) | (np.maximum(a, b) + ext >= n)
         pa_, pb = np.minimum(a + ext, n - 1), np.minimum(b + ext, n - 1)
-        return np.where(done, np.where(ext == limit, True, a >= b), data[pa_] <= data[pb])
+        out[open_] = np.where(done, np.where(ext == limit, True, a >= b), data[pa_] <= data[pb])
+        return out
 
     order, width = np.asarray(at, np.int64).copy(), 1
     while width < len(order):
@@ -169,10 +185,10 @@ def united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]]
 
 
-def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _keys(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
     """k1, k2 name a text: its id (null: the least long) and a digest, as ids may repeat."""
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(raw).alias("k2"), raw.alias("t"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(raw).alias("k2"), raw.alias("t"), *more)
 
 
 def _bucket():
@@ -242,85 +258,185 @@ def repeated_intervals(keyed: DataFrame, min_len: int = 400) -> DataFrame:
     listed = parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "lo", "more", "top", "known")).alias("parts"))  # of one text
     near = F.broadcast(parts.select(_bucket()).distinct())
     texts = long_.withColumn("bucket", _bucket()).join(near, "bucket", "left_semi").drop("bucket").dropDuplicates(["k1", "k2"])
+    cut = F.transform("parts", lambda p: F.struct(p["core"].alias("core"), p["lo"].alias("lo"), p["more"].alias("more"), p["top"].alias("top"), p["known"].alias("known"), F.substring("t", (p["lo"] + 1).cast("int"), (p["more"] + min_len).cast("int")).alias("bytes")))
+    pieces = texts.join(listed, ["k1", "k2"]).select("k1", "k2", F.explode(cut).alias("p")).select("k1", "k2", "p.*")
+    pieces = written(pieces, "pieces")
+    one = sorted_repeats(pieces, min_len).select("k1", "k2", "lo", (F.col("lo") + min_len).alias("hi"))
+    return whole.unionByName(same).unionByName(one)
+
+
+def sorted_repeats(pieces: DataFrame, min_len: int) -> DataFrame:
+    """``k1, k2, lo``: windows of ``pieces`` whose bytes stand elsewhere too, but for ``known`` ones.
+
+    A piece has ``more + 1`` windows from ``lo`` on, and ``core`` and ``top`` name what it shares with
+    others. Each batch sorts the suffixes that may be equal and sends one head for each class. A head
+    whose hash no other has is unique. The others are dealt out by ranges of their first
+    bytes and sorted again; where neighbours agree over the whole length their bytes are compared,
+    so no hash decides that two windows are equal.
+    """
 
     def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces, rows = [], []
-            for k1, k2, t, found_ in zip(b[0].to_pylist(), b[1].to_pylist(), b[2], b[3].to_pylist()):
-                t = t.as_buffer()
-                for r in found_:
-                    pieces.append(np.frombuffer(t, np.uint8, r["more"] + min_len, r["lo"]))
-                    rows.append((k1, k2, r["core"], r["lo"], r["more"] + 1, r["top"], r["known"]))
-            if not rows:
+            if not b.num_rows:
                 continue
-            data = np.concatenate(pieces)
-            k1, k2, core, lo, many, top, known = (np.array(x) for x in zip(*rows))
+            core, k1, k2, lo, many, top, known = (b[c].to_numpy(zero_copy_only=False) for c in ("core", "k1", "k2", "lo", "more", "top", "known"))
+            data, many = np.frombuffer(b"".join(b["bytes"].to_pylist()), np.uint8), many + 1
             size = many + min_len - 1
-            row = np.repeat(np.arange(len(rows)), many)
+            row = np.repeat(np.arange(len(core)), many)
             step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             at = (np.cumsum(size) - size)[row] + step
             start = lo[row] + step
             w = Hashes(data).of(at, at + min_len)
-            # windows can be equal only with the same core at the same distance; those that meet here
-            # are ordered as suffixes, and a class sends its size once
+            # windows can be equal only with the same core at the same distance
             key = second(core[row].view(np.uint64) + (top[row] - start).astype(np.uint64) * BASE, 4)
-            _, group, size = np.unique(key, return_inverse=True, return_counts=True)
-            met = np.flatnonzero(size[group] > 1)
-            count = np.ones(len(row), np.int64)
+            _, group, held = np.unique(key, return_inverse=True, return_counts=True)
+            met = np.flatnonzero(held[group] > 1)
+            count, head = np.ones(len(row), np.int64), np.arange(len(row))
             if len(met):
                 order, ext = sort_suffixes(data, at[met], min_len)
                 # order holds places of data; back to rows through the places' own order
                 back = met[np.argsort(at[met])][np.searchsorted(np.sort(at[met]), order)]
-                head = np.flatnonzero(ext < min_len)
-                many_ = np.diff(np.r_[head, len(order)])
+                first = np.flatnonzero(ext < min_len)
+                many_ = np.diff(np.r_[first, len(order)])
                 count[back] = 0
-                count[back[head]] = many_
+                count[back[first]] = many_
+                head[back] = np.repeat(back[first], many_)
             keep = np.flatnonzero(~known[row] | (count > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64)[keep], k1[row][keep], k2[row][keep], start[keep], count[keep], known[row][keep])], ["w", "k1", "k2", "lo", "n", "known"])
+            of = head[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w.view(np.int64)[keep], k1[row][keep], k2[row][keep], lo[row][keep], step[keep], count[keep], known[row][keep], k1[row][of], k2[row][of], start[of])], ["w", "k1", "k2", "piece", "step", "n", "known", "h1", "h2", "hlo"])
+
+    slim = pieces.select("core", "k1", "k2", "lo", "more", "top", "known", "bytes")
+    windows = written(slim.mapInArrow(find_windows, "w long, k1 long, k2 long, piece long, step long, n long, known boolean, h1 long, h2 long, hlo long"), "windows")
+    twice = written(windows.groupBy("w").agg(F.sum("n").alias("total")).where("total > 1").select("w"), "twice")
+    open_ = written(windows.join(twice, "w"), "open-windows")
+    heads = open_.where("n > 0").groupBy("k1", "k2", "piece").agg(F.collect_list(F.struct("step", "n")).alias("at"))  # of one piece
+    suffix = F.substring("bytes", (F.col("w.step") + 1).cast("int"), F.lit(min_len)).alias("suffix")
+    loaded = heads.join(pieces.withColumnRenamed("lo", "piece").select("k1", "k2", "piece", "bytes"), ["k1", "k2", "piece"]).select("k1", "k2", "piece", "bytes", F.explode("at").alias("w"))
+    suffixes = written(loaded.select("k1", "k2", (F.col("piece") + F.col("w.step")).alias("lo"), "w.n", suffix), "suffixes")
+    ranges = -(-suffixes.count() // SORTED) or 1
+
+    def sort_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "lo"]
+        # one head of each class so far, what the class holds, and whether its heads have been sent
+        kept, total, told, waiting = None, np.zeros(0, np.int64), np.zeros(0, bool), []
+
+        def sort_waiting() -> pa.RecordBatch:
+            nonlocal kept, total, told
+            t = pa.Table.from_batches(waiting if kept is None else [*kept.to_batches(), *waiting])
+            waiting.clear()
+            n, sent = np.r_[total, t["n"].to_numpy()[len(total) :]], np.r_[told, np.zeros(t.num_rows - len(told), bool)]
+            order, ext = sort_suffixes(np.frombuffer(b"".join(t["suffix"].to_pylist()), np.uint8), np.arange(t.num_rows) * min_len, min_len)
+            order = order // min_len
+            first = np.flatnonzero(ext < min_len)
+            total = np.add.reduceat(n[order], first)
+            told = total > 1
+            new = order[np.repeat(told, np.diff(np.r_[first, len(order)])) & ~sent[order]]
+            kept = t.take(pa.array(order[first])).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[new]) for c in names], names)
+
+        for b in batches:
+            if b.num_rows:
+                waiting.append(b)
+            if sum(x.num_rows for x in waiting) >= SORTED:
+                yield sort_waiting()
+        if waiting:
+            yield sort_waiting()
+
+    repeated = suffixes.select("k1", "k2", "lo", "n", "suffix").repartitionByRange(ranges, "suffix").mapInArrow(sort_range, "k1 long, k2 long, lo long")
+    repeated = written(repeated.toDF("h1", "h2", "hlo"), "repeated")
+    mine = open_.where("not known").select("k1", "k2", (F.col("piece") + F.col("step")).alias("lo"), "h1", "h2", "hlo")
+    return mine.join(repeated, ["h1", "h2", "hlo"]).select("k1", "k2", "lo")
 
-    joined = texts.join(listed, ["k1", "k2"]).select("k1", "k2", "t", "parts")
-    windows = written(joined.mapInArrow(find_windows, "w long, k1 long, k2 long, lo long, n long, known boolean"), "windows")
-    twice = written(windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "twice")
-    one = windows.where("not known").join(twice, "w").select("k1", "k2", "lo", (F.col("lo") + min_len).alias("hi"))
-    return whole.unionByName(same).unionByName(one)
 
+def _inside(keyed: DataFrame, outer: DataFrame, min_len: int) -> DataFrame:
+    """``k1, k2, lo, hi`` of repeats of ``min_len`` bytes, given those of a lesser length, ``outer``.
 
-def dedup_suffixes(docs: DataFrame, *, min_len: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    A longer repeat lies within the union of the shorter ones, so only its ranges are judged, and of
+    equal ranges one stands for all: what stands twice as a whole goes, and is still compared.
+    """
+    spans = outer.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))  # of one text
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for k1, k2, t, ranges in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist(), b[3].to_pylist()):
+                lo, hi = united(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
+                for i, j in zip(lo.tolist(), hi.tolist()):
+                    if j - i >= min_len:
+                        d = xxhash.xxh3_128_digest(t[i:j])
+                        rows.append((k1, k2, i, j - i, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), t[i:j]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["k1", "k2", "off", "size", "d1", "d2", "t"])
+
+    texts = keyed.where(F.octet_length("t") >= min_len).join(spans, ["k1", "k2"]).select("k1", "k2", "t", "cut")
+    ranges = written(texts.mapInArrow(take, "k1 long, k2 long, off long, size long, d1 long, d2 long, t binary"), "ranges")
+    many = written(ranges.groupBy("d1", "d2").agg(F.count("*").alias("n")), "range-classes")
+    kinds = written(ranges.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "t").dropDuplicates(["k1", "k2"]), "range-kinds")
+    parts = written(repeated_intervals(kinds, min_len).distinct(), "inner-intervals")
+    placed = ranges.select("k1", "k2", "off", "size", "d1", "d2").join(many, ["d1", "d2"])
+    whole = placed.where("n > 1").select("k1", "k2", F.col("off").alias("lo"), (F.col("off") + F.col("size")).alias("hi"))
+    parts = parts.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "lo", "hi")
+    some = placed.where("n = 1").join(parts, ["d1", "d2"]).select("k1", "k2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+    return whole.unionByName(some)
+
+
+def _characters(raw: bytes, lo: list[int], hi: list[int]) -> bytes:
+    """``raw`` without the ranges; a character that a range covers in part stays whole."""
+    inside = lambda p: p < len(raw) and raw[p] & 0xC0 == 0x80
+    for k in range(len(lo)):
+        while inside(lo[k]):
+            lo[k] += 1
+        while inside(hi[k]):
+            hi[k] -= 1
+    return b"".join(raw[i:j] for i, j in zip([0, *hi], [*lo, len(raw)]))
+
+
+def dedup_suffixes(docs: DataFrame, *, min_len: int = 400, passage_len: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove each byte covered by a ``min_len``-byte string that also starts anywhere else.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary), a row for each input row. All
     copies go, the first as well; strings are judged on the input. A null text counts as empty; a
     repeated row repeats its own strings; a null id is an id of its own and comes back as null.
     Texts shorter than ``min_len`` stay as they are. Other columns aren't read.
+
+    With ``passage_len`` (less than ``min_len``) the same search also gives ``passage_bytes,
+    passage_spans`` and ``text``: what repeats of that length cover, and the text without them, cut
+    between characters. The longer repeats are then looked for within the shorter ones alone.
     """
     small_batches(docs.sparkSession)
     keyed = _keys(docs, doc_id, text)
     # ranges that touch or overlap are united within each text
-    cut = written(repeated_intervals(keyed, min_len).distinct(), "intervals")
-    spans = cut.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))  # of one text
-    ident = F.when(F.col("k1") != -(2**63), F.col("k1")).alias("doc_id")
-    near = F.broadcast(cut.select(_bucket()).distinct())
+    if passage_len is None:
+        ranges = written(repeated_intervals(keyed, min_len).distinct(), "intervals").select("*", F.lit(True).alias("long"))
+    else:
+        outer = written(repeated_intervals(keyed, passage_len).distinct(), "outer-intervals")
+        inner = written(_inside(keyed, outer, min_len).distinct(), "intervals")
+        ranges = inner.select("*", F.lit(True).alias("long")).unionByName(outer.select("*", F.lit(False).alias("long")))
+    spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "long")).alias("cut"))  # of one text
+    near = F.broadcast(ranges.select(_bucket()).distinct())
     tagged = keyed.withColumn("bucket", _bucket())
-    clean = tagged.join(near, "bucket", "left_anti").select(ident, F.octet_length("t").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("t").alias("kept"))
+    ident, zero = F.when(F.col("k1") != -(2**63), F.col("k1")).alias("doc_id"), F.lit(0).cast("long")
+    columns = ["n_bytes", "n_removed", "n_spans", "kept"] + ["passage_bytes", "passage_spans", "text"] * (passage_len is not None)
+    as_text = F.col("t").cast("string").alias("text")
+    clean = tagged.join(near, "bucket", "left_anti").select(ident, F.octet_length("t").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("t").alias("kept"), zero.alias("passage_bytes"), zero.alias("passage_spans"), as_text).select("doc_id", *columns)
+    kinds = {"kept": "binary", "text": "string"}
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone, many, kept = [], [], []
+            rows = []
             for t, ranges in zip(b[1].to_pylist(), b[2].to_pylist()):
-                if not ranges:
-                    gone.append(0)
-                    many.append(0)
-                    kept.append(t)
-                    continue
-                lo, hi = united(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
-                gone.append(int((hi - lo).sum()))
-                many.append(len(lo))
-                kept.append(b"".join(t[i:j] for i, j in zip([0, *hi.tolist()], [*lo.tolist(), len(t)])))
-            size = pa.array([len(t) for t in b[1].to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b[0], size, pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary())], ["k1", "n_bytes", "n_removed", "n_spans", "kept"])
+                row = [len(t)]
+                for long in (True, False)[: 1 + (passage_len is not None)]:
+                    own = [(r["lo"], r["hi"]) for r in ranges or () if r["long"] == long]
+                    lo, hi = map(np.ndarray.tolist, united(*np.array(own).T)) if own else ([], [])
+                    row += [sum(hi) - sum(lo), len(lo), b"".join(t[i:j] for i, j in zip([0, *hi], [*lo, len(t)])) if long else _characters(t, lo, hi).decode()]
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([b[0], *(pa.array(x, pa.binary() if c == "kept" else pa.string() if c == "text" else pa.int64()) for c, x in zip(columns, zip(*rows)))], ["k1", *columns]) if rows else pa.RecordBatch.from_arrays([b[0], *(pa.array([], pa.binary() if c == "kept" else pa.string() if c == "text" else pa.int64()) for c in columns)], ["k1", *columns])
 
     maybe = tagged.join(near, "bucket", "left_semi").drop("bucket").join(spans, ["k1", "k2"], "left").select("k1", "t", "cut")
-    done = maybe.mapInArrow(remove, "k1 long, n_bytes long, n_removed long, n_spans long, kept binary").select(ident, "n_bytes", "n_removed", "n_spans", "kept")
+    done = maybe.mapInArrow(remove, "k1 long, " + ", ".join(f"{c} {kinds.get(c, 'long')}" for c in columns)).select(ident, *columns)
     return clean.unionByName(done)
 
 
@@ -332,13 +448,12 @@ def without_repeats(docs: DataFrame, *, min_len: int, doc_id: str = "doc_id", te
     """
     small_batches(docs.sparkSession)
     cut = written(repeated_intervals(_keys(docs, doc_id, text), min_len).distinct(), "intervals")
-    spans = cut.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__cut"))  # of one text
+    spans = cut.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))  # of one text
     near = F.broadcast(cut.select(_bucket()).distinct())
-    keyed = docs.withColumn("k1__", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("k2__", F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
-    keyed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("k1__", "k2__"), F.lit(BUCKETS)))
-    near = near.withColumnRenamed("bucket", "__bucket")
-    clean = keyed.join(near, "__bucket", "left_anti").select(*docs.columns)
-    maybe = keyed.join(near, "__bucket", "left_semi").join(spans, (F.col("k1__") == F.col("k1")) & (F.col("k2__") == F.col("k2")), "left").select(*docs.columns, "__cut")
+    # the caller's row stands in a struct, so that no name can clash
+    keyed = _keys(docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("i"), F.col(text).alias("s")), "i", "s", "row").drop("t").withColumn("bucket", _bucket())
+    clean = keyed.join(near, "bucket", "left_anti").select("row.*")
+    maybe = keyed.join(near, "bucket", "left_semi").join(spans, ["k1", "k2"], "left").select("row.*", "cut")
     at, plain = docs.columns.index(text), docs.schema
     n_chars = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
 
@@ -348,16 +463,8 @@ def without_repeats(docs: DataFrame, *, min_len: int, doc_id: str = "doc_id", te
             out = []
             for t, ranges in zip(columns[at].to_pylist(), b[b.num_columns - 1].to_pylist()):
                 if t is not None and ranges:
-                    raw = t.encode()
                     lo, hi = united(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
-                    lo, hi = lo.tolist(), hi.tolist()
-                    inside = lambda p: p < len(raw) and raw[p] & 0xC0 == 0x80
-                    for k in range(len(lo)):
-                        while inside(lo[k]):
-                            lo[k] += 1
-                        while inside(hi[k]):
-                            hi[k] -= 1
-                    t = b"".join(raw[i:j] for i, j in zip([0, *hi], [*lo, len(raw)])).decode()
+                    t = _characters(t.encode(), lo.tolist(), hi.tolist()).decode()
                 out.append(t)
             columns[at] = pa.array(out, columns[at].type)
             if n_chars is not None:

@@ -35,6 +35,19 @@ def test_suffix_dedup_is_exact(spark, k):
     assert suffix(table(spark, rows), k) == brute_suffix(rows, k)
 
 
+def test_suffix_dedup_of_two_lengths(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORTED", 30)  # many ranges, each sorted in several turns
+    rng = random.Random(9)
+    base = words(rng, 60)
+    rows = awkward() + [(200 + i, words(rng, 3) + base[i : i + 150 + i % 30] + words(rng, 3)) for i in range(30)]
+    got = suffix_dedup.dedup_suffixes(table(spark, rows), min_len=150, passage_len=60).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute_suffix(rows, 150)
+    short = brute_suffix(rows, 60)
+    assert sorted(((r.doc_id, r.n_bytes, r.passage_bytes, r.passage_spans) for r in got), key=str) == sorted((r[:4] for r in short), key=str)
+    plain = {i for i, t in rows if i and (t or "").isascii()}
+    assert sorted(((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in got if r.doc_id in plain), key=str) == sorted(((r[0], r[4]) for r in short if r[0] in plain), key=str)
+
+
 def test_suffix_dedup_periods_and_edges(spark):
     rng = random.Random(3)
     base = words(rng, 40)
@@ -47,9 +60,10 @@ def test_suffix_dedup_empty_table(spark):
 
 
 def test_suffix_query_on_a_whole_table(spark, sf):
-    got = sorted(tuple(r)[:5] for r in QUERIES["op1_suffix_dedup"](spark, sf).collect())
+    found = QUERIES["op1_suffix_dedup"](spark, sf).collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert got == sorted(brute_suffix(rows, 400))
+    assert sorted(tuple(r)[:5] for r in found) == sorted(brute_suffix(rows, 400))
+    assert sorted((r.doc_id, r.n_bytes, r.passage_bytes, r.passage_spans) for r in found) == sorted(r[:4] for r in brute_suffix(rows, 250))
 
 
 def test_suffix_sort_orders_and_measures():
