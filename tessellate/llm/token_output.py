@@ -1,10 +1,13 @@
 """Token-id output: binary shards whose document boundaries are Elias-Fano encoded.
 
-A shard file holds, little-endian: a header (magic, version, id width, documents, ids, low bits),
-the document ids, the low bits of the boundaries (packed), the high bits (unary bitmap), a select
-index (the position of every 64th set bit) and last the concatenated token ids. A boundary is read
-back with select: ``((position of the i-th set bit - i) << low) | low bits``. This takes about
-``2 + log2(ids / documents)`` bits a document where a table of offsets takes 64.
+A shard file holds, little-endian: a header (magic, version, id width, documents, ids, documents
+without an id, the first document id, the span of document ids), two Elias-Fano sequences and last
+the concatenated token ids. The sequences are the running count of ids after each document, and the
+ascending document ids less the first. Each is its low bits (packed), its high bits (unary bitmap)
+and a select index (the position of every 64th set bit). The i-th value is read back with select:
+``((position of the i-th set bit - i) << low) | low bits``. This takes about ``2 + log2(span /
+documents)`` bits a document where a table takes 64. A reader asks for the bytes of the documents it
+wants alone: its memory doesn't grow with the shard.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,15 @@ from pyspark.sql import functions as F
 
 from .shared import fresh_path, shuffle_width, small_batches, written
 
-MAGIC, HEADER = b"TIDS", struct.Struct("<4sHHqqq")
+MAGIC, HEADER = b"TIDS", struct.Struct("<4sHHqqqqQ")
 #: Every SAMPLE-th set bit of the high part has its position stored.
 SAMPLE = 64
+#: Stands for a null document id.
+NONE = -(2**63)
+#: Documents that a reader takes at a time.
+READ_DOCS = 4096
+#: Token ids that a reader takes at a time, unless one document has more.
+READ_IDS = 1 << 21
 #: Chunks and words that a worker remembers.
 CACHE = 500_000
 #: Bytes of texts whose new chunks are learned together.
@@ -33,10 +42,12 @@ HELD = 4 << 20
 
 
 class EliasFano:
-    """A non-decreasing sequence in near-minimal space, with select."""
+    """A non-decreasing sequence in near-minimal space, with select. ``read(begin, size)`` gives its bytes."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, select: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.select = n, low_bits, low, high, select
+    def __init__(self, n: int, top: int, read: Callable[[int, int], bytes]):
+        self.n, self.read = n, read
+        self.low_bits, self.low_bytes, self.high_bytes, marks = self.shape(n, top)
+        self.size = self.low_bytes + self.high_bytes + 8 * marks
 
     @staticmethod
     def shape(n: int, top: int) -> tuple[int, int, int, int]:
@@ -45,56 +56,77 @@ class EliasFano:
         return bits, (n * bits + 7) // 8, (n + (top >> bits) + 1 + 7) // 8, (n + SAMPLE - 1) // SAMPLE
 
     @classmethod
-    def encode(cls, values: np.ndarray) -> EliasFano:
+    def encode(cls, values: np.ndarray) -> bytes:
+        """The last value is the span that a reader must know."""
         values = np.asarray(values, np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         bits, _, high_bytes, _ = cls.shape(n, top)
-        low = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
+        # whole bytes at a time: 8192 values of any number of bits
+        low = [np.packbits(((values[k : k + 8192, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes() for k in range(0, n, 8192)]
         at = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(high_bytes * 8, np.uint8)
         high[at] = 1
-        return cls(n, bits, np.packbits(low.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high, bitorder="little"), at[::SAMPLE].astype("<u8"))
+        return b"".join(low) + np.packbits(high, bitorder="little").tobytes() + at[::SAMPLE].astype("<u8").tobytes()
+
+    def select(self, begin: int, end: int) -> np.ndarray:
+        """Values ``begin`` to ``end``: a few entries of the index, and the bytes between them."""
+        if begin >= end:
+            return np.zeros(0, np.uint64)
+        first, last = begin // SAMPLE, (end - 1) // SAMPLE
+        marks = np.frombuffer(self.read(self.low_bytes + self.high_bytes + 8 * first, 8 * (min(last + 2, -(-self.n // SAMPLE)) - first)), "<u8").astype(np.int64)
+        stop = int(marks[last + 1 - first]) // 8 + 1 if last + 1 - first < len(marks) else self.high_bytes
+        byte = int(marks[0]) // 8
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.read(self.low_bytes + byte, stop - byte), np.uint8), bitorder="little")) + 8 * byte
+        ones = ones[ones >= marks[0]][begin - first * SAMPLE :][: end - begin]
+        bits, at = self.low_bits, begin * self.low_bits // 8
+        raw = np.unpackbits(np.frombuffer(self.read(at, (end * bits + 7) // 8 - at), np.uint8), bitorder="little")
+        low = raw[begin * bits - 8 * at :][: (end - begin) * bits].reshape(end - begin, bits).astype(np.uint64)
+        return ((ones - np.arange(begin, end)).astype(np.uint64) << np.uint64(bits)) | (low << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def get(self, i: int) -> int:
-        """The i-th value, from the select index and a scan of few bytes."""
-        at = int(self.select[i // SAMPLE])
-        skip, byte = i % SAMPLE, at // 8
-        bit = at % 8
-        while True:
-            word = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-            ones = np.flatnonzero(word[bit:]) + bit
-            if len(ones) > skip:
-                pos = byte * 8 + int(ones[skip])
-                break
-            skip, byte, bit = skip - len(ones), byte + 64, 0
-        low = np.unpackbits(self.low[i * self.low_bits // 8 : ((i + 1) * self.low_bits + 7) // 8 + 1], bitorder="little")[i * self.low_bits % 8 :][: self.low_bits]
-        return ((pos - i) << self.low_bits) | int(sum(int(b) << k for k, b in enumerate(low)))
-
-    def all(self) -> np.ndarray:
-        pos = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        return ((pos - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | (low << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return int(self.select(i, i + 1)[0])
 
 
 def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: bytes, width: int) -> list[bytes]:
-    """The parts of a shard file. ``ends``: the running count of ids after each document."""
-    ef = EliasFano.encode(ends)
-    return [HEADER.pack(MAGIC, 1, width, len(doc_ids), len(ids) // width, ef.low_bits), np.asarray(doc_ids, "<i8").tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.select.tobytes(), ids]
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, EliasFano, memoryview, int]:
-    """Document ids, boundaries, token ids and their width."""
-    magic, version, width, n, total, _ = HEADER.unpack_from(blob)
-    if magic != MAGIC or version != 1:
-        raise ValueError("not a shard of token ids")
-    bits, low_bytes, high_bytes, marks = EliasFano.shape(n, total)
-    at = HEADER.size
-    docs = np.frombuffer(blob, "<i8", n, at)
-    at += 8 * n
-    low = np.frombuffer(blob, np.uint8, low_bytes, at)
-    high = np.frombuffer(blob, np.uint8, high_bytes, at + low_bytes)
-    select = np.frombuffer(blob, "<u8", marks, at + low_bytes + high_bytes)
-    return docs, EliasFano(n, bits, low, high, select), memoryview(blob)[at + low_bytes + high_bytes + 8 * marks :], width
+    """The parts of a shard file. ``doc_ids`` ascend, the least long for none; ``ends``: the running count of ids."""
+    doc_ids = np.asarray(doc_ids, np.int64)
+    nameless = int(np.searchsorted(doc_ids, NONE, "right"))
+    named = doc_ids[nameless:].view(np.uint64)
+    offsets = named - named[:1]
+    head = HEADER.pack(MAGIC, 2, width, len(doc_ids), len(ids) // width, nameless, int(doc_ids[nameless]) if len(named) else 0, int(offsets[-1]) if len(named) else 0)
+    return [head, EliasFano.encode(ends), EliasFano.encode(offsets), ids]
+
+
+class TokenShard:
+    """A shard file's documents, by ranged reads of ``file`` (anything with ``seek`` and ``read``)."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, version, self.width, self.n, total, self.nameless, self.first, span = HEADER.unpack(self.bytes(0, HEADER.size))
+        if magic != MAGIC or version != 2:
+            raise ValueError("not a shard of token ids")
+        self.ends = EliasFano(self.n, total, lambda at, size: self.bytes(HEADER.size + at, size))
+        begin = HEADER.size + self.ends.size
+        self.named = EliasFano(self.n - self.nameless, span, lambda at, size: self.bytes(begin + at, size))
+        self.ids_at = begin + self.named.size
+
+    def bytes(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def doc_ids(self, begin: int, end: int) -> np.ndarray:
+        """Ids of documents ``begin`` to ``end``, the least long for none."""
+        named = self.named.select(max(begin - self.nameless, 0), max(end - self.nameless, 0)) + np.int64(self.first).view(np.uint64)
+        return np.r_[np.full(end - begin - len(named), NONE), named.view(np.int64)]
+
+    def bounds(self, begin: int, end: int) -> np.ndarray:
+        """Where documents ``begin`` to ``end`` start, and where the last ends."""
+        ends = self.ends.select(max(begin - 1, 0), end).astype(np.int64)
+        return ends if begin else np.r_[0, ends]
+
+    def ids(self, begin: int, end: int) -> np.ndarray:
+        """Token ids ``begin`` to ``end`` of the shard."""
+        return np.frombuffer(self.bytes(self.ids_at + begin * self.width, (end - begin) * self.width), "<u2" if self.width == 2 else "<u4")
 
 
 class Encoder:
@@ -245,7 +277,7 @@ def write_token_shards(docs: DataFrame, vocabulary: str, *, end_id: int, folder:
             yield flush()
 
     n = partitions or shuffle_width(docs.sparkSession)
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("i"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
+    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NONE)).alias("i"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
     # ids alone could hold one frequent value: a digest of the text spreads repeated ids
     key = ["i", F.xxhash64("t")]
     ordered = slim.repartitionByRange(n, *key).sortWithinPartitions(*key, "t")
@@ -268,16 +300,18 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
             for path, start in zip(b[0].to_pylist(), b[1].to_pylist()):
                 store, name = filesystem(path)
                 with store.open_input_file(name) as f:
-                    docs, bounds, ids, width = unpack(f.read())
-                ends = bounds.all().astype(np.int64)
-                begins = np.r_[0, ends[:-1]]
-                ids = np.frombuffer(ids, "<u2" if width == 2 else "<u4")
-                for k in range(0, len(docs), 10_000):
-                    e, s = ends[k : k + 10_000], begins[k : k + 10_000]
-                    wide = ids[s[0] : e[-1]].astype("<u4")
-                    crc = [zlib.crc32(wide[x - s[0] : y - s[0]]) for x, y in zip(s.tolist(), e.tolist())]
-                    ident = pa.array(docs[k : k + 10_000], mask=docs[k : k + 10_000] == -(2**63))
-                    yield pa.RecordBatch.from_arrays([ident, pa.array(s + start), pa.array(e - s), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    shard = TokenShard(f)
+                    for k in range(0, shard.n, READ_DOCS):
+                        docs, at = shard.doc_ids(k, min(shard.n, k + READ_DOCS)), shard.bounds(k, min(shard.n, k + READ_DOCS))
+                        crc, done = [], 0
+                        while done < len(docs):
+                            # as many documents as READ_IDS hold, one at least
+                            upto = max(done + 1, int(np.searchsorted(at, at[done] + READ_IDS, "right")) - 1)
+                            wide = shard.ids(int(at[done]), int(at[upto])).astype("<u4")
+                            cut = (at[done : upto + 1] - at[done]).tolist()
+                            crc += [zlib.crc32(wide[x:y]) for x, y in zip(cut, cut[1:])]
+                            done = upto
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NONE), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "path string, start long")
     # a few shards a task

@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -70,12 +71,34 @@ def test_output_of_a_whole_table(spark, sf):
     assert sorted(tuple(r)[:4] for r in QUERIES["op4_token_output"](spark, sf).collect()) == brute_output(rows)
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
-def test_elias_fano(n):
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 9000])
+@pytest.mark.parametrize("step", [1, 500, 2**50])
+def test_elias_fano(n, step):
     rng = np.random.default_rng(n)
-    values = np.cumsum(rng.integers(0, 500, n))
-    ef = token_output.EliasFano.encode(values)
-    assert np.array_equal(ef.all(), values.astype(np.uint64))
-    assert [ef.get(i) for i in range(n)] == values.tolist()
-    if n == 1000:
-        assert len(ef.low) + len(ef.high) + 8 * len(ef.select) < 2 * n
+    values = np.cumsum(rng.integers(0, step, n).astype(np.uint64), dtype=np.uint64)
+    blob = token_output.EliasFano.encode(values)
+    ef = token_output.EliasFano(n, int(values[-1]) if n else 0, lambda at, size: blob[at : at + size])
+    assert ef.size == len(blob) and np.array_equal(ef.select(0, n), values)
+    for a, b in [(0, 1), (n // 2, n), (n // 3, n // 3 + 70), (63, 65), (n - 1, n)]:
+        a, b = max(0, min(a, n)), min(b, n)
+        assert ef.select(a, b).tolist() == values[a:b].tolist()
+    if n >= 1000 and step == 500:
+        assert len(blob) < 2 * n
+
+
+def test_a_shard_is_read_in_ranges():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 40, 700)
+    ends, none = np.cumsum(sizes), token_output.NONE
+    docs = np.r_[[none] * 5, np.sort(rng.integers(-(2**62), 2**62, 690)), [2**62] * 5]
+    ids = rng.integers(0, 2**16, ends[-1]).astype("<u2")
+    blob = b"".join(token_output.pack(docs, ends, ids.tobytes(), 2))
+    shard = token_output.TokenShard(io.BytesIO(blob))
+    assert len(blob) - 2 * len(ids) < 700 * 10
+    for a, b in [(0, 700), (0, 3), (3, 9), (5, 70), (699, 700)]:
+        assert np.array_equal(shard.doc_ids(a, b), docs[a:b])
+        at = shard.bounds(a, b)
+        assert np.array_equal(np.diff(at), sizes[a:b]) and at[0] == ends[a] - sizes[a]
+        assert np.array_equal(shard.ids(int(at[0]), int(at[-1])), ids[at[0] : at[-1]])
+    with pytest.raises(ValueError):
+        token_output.TokenShard(io.BytesIO(b"x" * 100))
