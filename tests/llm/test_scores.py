@@ -232,8 +232,41 @@ def test_packing_places_every_token_once(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, n_tokens long")).collect() == []
 
 
+def linear_best_fit(lengths, sizes, overhead):
+    """Every open bin is looked at for each item, and every length is filled item by item for each opening."""
+    bins, left = [], sorted(lengths, reverse=True)
+    while left:
+        n = left.pop(0)
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b[0] - b[1], -b[2]))  # of equal ones the last touched
+        else:
+            costs = []
+            for size in (s for s in sizes if s >= n):
+                fill = n
+                for x in left:
+                    fill += x if fill + x <= size else 0
+                costs.append(((min(s for s in sizes if s >= fill) + overhead) / fill, size))
+            bins.append(b := [min(costs)[1], 0, 0])
+        b[1:] = b[1] + n, -len(left)
+    return sorted((size, fill) for size, fill, _ in bins)
+
+
+@pytest.mark.parametrize("overhead", [0, 16, 300])
+def test_best_fit_equals_a_linear_scan(overhead):
+    rng = random.Random(overhead)
+    for _ in range(60):
+        sizes = tuple(sorted(rng.sample(range(20, 400), rng.randint(1, 5))))
+        lengths = sorted((rng.randint(1, sizes[-1]) for _ in range(rng.randint(0, 80))), reverse=True)
+        where, fill, capacity = packing.best_fit(lengths, sizes, overhead)
+        assert sorted(zip(capacity, fill)) == linear_best_fit(lengths, sizes, overhead)
+        assert np.bincount(where, lengths, minlength=len(fill)).tolist() == fill
+        bins, offset, final = packing.pack(np.array(lengths, np.int64), sizes, overhead)
+        assert final.tolist() == [min(s for s in sizes if s >= f) for f in fill] and bins.tolist() == where
+
+
 def test_best_fit_takes_the_tightest_bin():
-    where, fill, capacity = packing.best_fit([6, 5, 4, 3, 2], (8, 16), 8)
+    where, fill, capacity = packing.best_fit([6, 5, 4, 3, 2], (8, 16), 0)
     assert where == [0, 1, 2, 1, 0] and fill == [8, 8, 4] and capacity == [8, 8, 8]
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 4000, 3000)
@@ -242,6 +275,15 @@ def test_best_fit_takes_the_tightest_bin():
     assert math.isclose(np.bincount(bins, lengths, minlength=len(final)).sum(), lengths.sum())
 
 
+def test_packing_agrees_however_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 7)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, i]), rng.choice([5, 600, 9000])) for i in range(300)]
+    frames = [spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(3), spark.createDataFrame(rows[::-1], "doc_id long, n_tokens long").coalesce(1)]
+    one, other = (Counter(map(tuple, packing.packed(f, shard_items=60).collect())) for f in frames)
+    assert one == other and sum(r[3] for r in one.elements()) == sum(n for _, n in rows)
+
+
 def test_packing_query(spark, sf):
     got = QUERIES["op2_packing"](spark, sf).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     want = {r.doc_id: r.n_tokens for r in QUERIES["op3_token_counts"](spark, sf).collect() if r.n_tokens}
