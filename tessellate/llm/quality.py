@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 from .shared import WORD, written
 
 SHARE, STEPS = 0.75, 4
-#: Groups with fewer rows share one estimate; a shared group that is still smaller judges nothing.
+#: Groups with fewer rows share one estimate, with the smallest other group if they are still fewer;
+#: a table with fewer rows in all is judged by the base rule alone.
 LEAST_ROWS = 50
 #: Bins of the logarithm of the squared distance, in which the SHARE-th nearest row is found.
 BINS_A_UNIT = 50
+#: Logarithms beyond this on either side count as this.
+REACH = 7.0
+#: Bins that are counted as one at first.
+COARSE = 25
 #: Least standard deviation of each transformed statistic. Most texts have no symbol, repeated line or
 #: window at all; without it one repeated line, or a table's bars, would be infinitely far from them.
 #: Repeated lines reach log1p(100), repeated words log1p(30) before the base rule fails: over 20.5 each.
@@ -124,12 +129,21 @@ def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def nearest(scored: DataFrame, share: float) -> DataFrame:
-    """The nearest ``share`` of each group, whole bins at a time: exact counts, no sketch."""
-    binned = scored.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS_A_UNIT))
-    counts = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
-    upto, whole = Window.partitionBy("g").orderBy("bin"), Window.partitionBy("g")
-    ranked = counts.select("g", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("all"))
-    top = written(ranked.where(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("top")), "mcd-top")
+    """The nearest ``share`` of each group, whole bins at a time: exact counts, no sketch.
+
+    A group has as many bins as ``REACH`` allows; those beyond it share the outer ones.
+    """
+    bin_ = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.log(F.col("d2") + 1e-9))) * BINS_A_UNIT)
+    binned = scored.withColumn("bin", bin_)
+    counts = written(binned.groupBy("g", "bin").agg(F.count("*").alias("n")), "mcd-bins")
+    # coarse bins first, then the fine ones of the coarse bin in which the share is reached
+    wide = F.floor(F.col("bin") / COARSE)
+    coarse = counts.groupBy("g", wide.alias("c")).agg(F.sum("n").alias("n"))
+    upto, whole = Window.partitionBy("g").orderBy("c"), Window.partitionBy("g")
+    ranked = coarse.select("g", "c", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("all"))
+    reached = ranked.where(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.min(F.struct("c", (F.col("upto") - F.col("n")).alias("before"), "all")).alias("r")).select("g", "r.*")
+    fine = counts.withColumn("c", wide).join(reached, ["g", "c"]).select("g", "bin", "all", (F.col("before") + F.sum("n").over(Window.partitionBy("g").orderBy("bin"))).alias("upto"))
+    top = written(fine.where(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("top")), "mcd-top")
     return binned.join(top, "g").where("bin <= top").drop("bin", "top")
 
 
@@ -139,13 +153,18 @@ def quality_rules(docs: DataFrame, *, cut: float = CUT, **columns: str) -> DataF
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, distance2``, a row for each input row. A null text has no words and fails the base rule;
     null languages and sources are groups of their own; ids may be null or repeat. Groups of fewer
-    than ``LEAST_ROWS`` rows are judged together; too few even then, none is an outlier. Rows that
-    fail the base rule take no part in the estimates. Other columns aren't read.
+    than ``LEAST_ROWS`` rows are judged together, with the smallest other group if they are too few
+    even then; in a table of fewer rows none is an outlier. Rows that fail the base rule take no
+    part in the estimates. Other columns aren't read.
     """
     base = written(statistics(docs, **columns), "quality")
     rows = base.where("not base_failed").withColumns({f"x{i}": c for i, c in enumerate(vector())})
     sizes = written(rows.groupBy("g").agg(F.count("*").alias("size")), "mcd-sizes")
-    pooled = F.when(F.col("size") >= LEAST_ROWS, F.col("g")).otherwise(F.lit("\x00"))
+    # too few for an estimate even together: the smallest group that has one joins them
+    small = F.col("size") < LEAST_ROWS
+    left, least = sizes.agg(F.coalesce(F.sum(F.when(small, F.col("size"))), F.lit(0)), F.min(F.when(~small, F.struct("size", "g")))).first()
+    joins = F.col("g") == least.g if least and 0 < left < LEAST_ROWS else F.lit(False)
+    pooled = F.when(small | joins, F.lit("\x00")).otherwise(F.col("g"))
     groups = written(sizes.select(F.col("g").alias("of"), pooled.alias("to")), "mcd-groups")
     enough = written(sizes.join(groups, sizes.g == groups.of).groupBy("to").agg(F.sum("size").alias("size")).where(F.col("size") >= LEAST_ROWS).select(F.col("to").alias("g")), "mcd-enough")
     at = rows.join(groups, rows.g == groups.of).drop("g", "of").withColumnRenamed("to", "g").select("g", *(f"x{i}" for i in range(DIMS)))
