@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .components import components, local_roots
 from .shared import small_batches, written
 
-#: Fingerprints of the sample that the shards' tree is built on.
-SAMPLE = 20_000
+#: Fingerprints of the sample that the shards' tree is built on: 64 for each shard, within these bounds.
+SAMPLE, MOST = 20_000, 1_000_000
 #: Distinct fingerprints that a shard should hold (it may hold more).
 SHARD = 32_768
 #: Fingerprints that are compared pair by pair.
@@ -107,20 +107,31 @@ def deal(tree, fp: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from deal(outer, fp[b], radius)
 
 
-def near_links(fp: np.ndarray, radius: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) that span every component of ``fp`` within ``radius`` (distinct values)."""
+def near_links(fp: np.ndarray, radius: int, depth: int = 0, banded: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that span every component of ``fp`` within ``radius`` (distinct values).
+
+    What no ball splits goes by bands of bits: two within ``radius`` agree in one of radius + 1.
+    """
     if len(fp) < 2:
         return
     mu = v = None
-    if len(fp) > LEAF and depth < 40:
+    if len(fp) > LEAF and depth < 60:
         for k in (len(fp) // 2, 0, len(fp) - 1):
             v = fp[k]
             if (mu := boundary(hamming(fp, v), radius)) is not None:
                 break
     if mu is not None:
         a, b = sides(fp, v, mu, radius)
-        yield from near_links(fp[a], radius, depth + 1)
-        yield from near_links(fp[b], radius, depth + 1)
+        yield from near_links(fp[a], radius, depth + 1, banded)
+        yield from near_links(fp[b], radius, depth + 1, banded)
+        return
+    if len(fp) > 4 * LEAF and not banded:
+        cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+        for low, high in zip(cuts, cuts[1:]):
+            band = (fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+            order = np.argsort(band, kind="stable")
+            for part in np.split(fp[order], np.flatnonzero(np.diff(band[order])) + 1):
+                yield from near_links(part, radius, depth + 1, True)
         return
     i, j = [], []
     for k in range(0, len(fp), LEAF):  # one block of rows against all after it
@@ -141,8 +152,8 @@ def near_links(fp: np.ndarray, radius: int, depth: int = 0) -> Iterator[tuple[np
 def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints ``fp`` that span their components."""
     total = distinct.count()
-    part = min(1.0, SAMPLE / max(1, total))
-    chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * SAMPLE)
+    sample = min(MOST, max(SAMPLE, 64 * (total // SHARD)))
+    chosen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))).limit(2 * sample)
     tree = shard_tree(np.array([r.fp for r in chosen.collect()], np.int64).view(np.uint64), total, radius)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
