@@ -16,6 +16,8 @@ from .shared import WORD, text_or_empty, written
 
 #: Rows that a bucket of the prefix sum has on average.
 BUCKET_ROWS = 4096
+#: Classes of the logarithm of a weight to each factor of two, and how many at most on either side of 1.
+CLASS_STEPS, CLASSES = 16, 512
 
 
 def uniform(*parts: Column, seed: int) -> Column:
@@ -64,14 +66,18 @@ def decisions(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), limit:
         F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), (quality(text) if weight is None else weight).alias("w"),
     )
     items = written(rows.groupBy("source", "doc_id", "digest", "size").agg(F.count("*").alias("copies"), F.max("w").alias("w")), "mix-items")
-    sources = items.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n_rows"))
-    targets = written(source_targets(sources, weights, limit), "mix-targets")
+    # by classes of the weight, of which a source has few, then by source
+    step = F.greatest(F.lit(-CLASSES), F.least(F.lit(CLASSES), F.round(F.log2(F.greatest("w", F.lit(1e-9))) * CLASS_STEPS)))
+    classes = items.groupBy("source", step.alias("step")).agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.sum("copies").alias("n"), F.count("*").alias("k"))
+    sources = written(classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_rows"), F.sum("k").alias("n_keys"), F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("step") / CLASS_STEPS).alias("w"), F.col("k").alias("k"))).alias("classes")), "mix-sources")
+    targets = written(source_targets(sources, weights, limit).join(sources.select(F.col("source").alias("of"), "n_keys", "classes"), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest"), seed=seed)
     keyed = items.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("key", -F.log(u) / F.greatest(F.col("w"), F.lit(1e-9)))
-    # 1 - exp(-key) ascends with the key and spreads it over (0, 1)
-    buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
-    keyed = keyed.withColumn("epochs", epochs).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+    # the share of keys below a key ascends with it and spreads the source's rows over (0, 1)
+    below = F.aggregate("classes", F.lit(0.0), lambda total, c: total + c["k"] * (1 - F.exp(-c["w"] * F.col("key")))) / F.col("n_keys")
+    buckets = F.ceil(F.col("n_keys") / BUCKET_ROWS)
+    keyed = keyed.withColumn("epochs", epochs).withColumn("bucket", F.least(F.floor(below * buckets), buckets)).drop("classes")
     sums = keyed.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("inside"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("inside").over(ahead), F.lit(0)).alias("offset")), "mix-offsets")
@@ -99,12 +105,24 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself, in the columns of ``docs``: a row as often as it is taken."""
+    """The mix itself, in the columns of ``docs``: a row as often as it is taken.
+
+    Rows of equal id, source and text share a decision, whatever their other columns hold: each
+    stands once for each epoch, and as many of them as are chosen once more. Null ids, sources and
+    texts are kept as they are; a row without words isn't taken. An empty table stays empty.
+    """
     d = decisions(docs, doc_id=doc_id, text=text, source=source, **options)
-    times = d.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("digest").alias("__d"), "copies", (F.col("epochs") * F.col("copies") + F.col("chosen")).alias("__n")).where("__n > 0").drop("copies")
-    marked = docs.withColumn("__t", F.md5(text_or_empty(text)))
-    on = marked[doc_id].eqNullSafe(F.col("__i")) & marked[source].eqNullSafe(F.col("__s")) & (F.col("__t") == F.col("__d"))
-    # equal rows share one decision: the first stands for all
-    one = marked.dropDuplicates([doc_id, source, "__t"])
-    joined = one.join(times, on)
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    # only the row that crosses a source's budget has some of its copies chosen and others not
+    times = d.where("epochs > 0 or chosen > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("digest").alias("d"), "copies", "epochs", "chosen")
+    mine = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("of"), F.md5(text_or_empty(text)).alias("t"))
+    joined = mine.join(times, F.col("id").eqNullSafe(F.col("i")) & F.col("of").eqNullSafe(F.col("s")) & (F.col("t") == F.col("d")))
+    split = F.col("chosen").between(1, F.col("copies") - 1)
+    even = joined.where(~split).select("row", (F.col("epochs") + F.when(F.col("chosen") > 0, 1).otherwise(0)).alias("n"))
+    # these are numbered within the task that wrote them, behind those of the tasks before
+    some = written(joined.where(split).select("row", "s", "epochs", "chosen", F.spark_partition_id().alias("task")), "mix-split")
+    ahead = Window.partitionBy("s").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = some.groupBy("s", "task").agg(F.count("*").alias("held")).select(F.col("s").alias("at"), F.col("task").alias("by"), F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"))
+    placed = some.join(counts, F.col("s").eqNullSafe(F.col("at")) & (F.col("task") == F.col("by")))
+    number = F.row_number().over(Window.partitionBy("s", "task").orderBy(F.xxhash64("row"))) + F.col("before")
+    rest = placed.select("row", (F.col("epochs") + F.when(number <= F.col("chosen"), 1).otherwise(0)).alias("n"))
+    return even.unionByName(rest).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))).select("row.*")
