@@ -141,8 +141,12 @@ def rest_links(each: DataFrame, joined: DataFrame, sets: DataFrame, similarity:
     return loaded.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """``digest, root``: the group of each distinct text that is not its group's first."""
+def near_groups(docs: DataFrame, *, text: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``digest, root``: the group of each distinct text that is not its group's first.
+
+    Whole texts are read, however long; null counts as empty, and texts without words are one group
+    by their fingerprint. Repeated rows count once. Empty in, empty out.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     raw = docs.select(F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t")).withColumn("digest", F.xxhash64("t"))
@@ -207,10 +211,11 @@ def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     Ids tie by the text's digest; of equal rows one stays; a null id gives way to any other. Null
     and empty texts are copies of each other. An empty table stays empty.
     """
-    groups = written(near_groups(docs, doc_id=doc_id, text=text, **options), "groups")
-    mine = docs.withColumn("__digest", F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))).withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
+    groups = written(near_groups(docs, text=text, **options), "groups")
+    # the caller's row stands in a struct, so that no name can clash
+    mine = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("digest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("id"))
     # by text first, then by group: a text of a third of all rows is one row after the first step
-    texts = mine.groupBy("__digest").agg(F.min("__id").alias("low"))
-    rooted = texts.join(groups, texts["__digest"] == groups.digest, "left").select("__digest", "low", F.coalesce("root", "__digest").alias("root"))
-    keep = written(rooted.groupBy("root").agg(F.min(F.struct("low", "__digest")).alias("k")).select(F.col("k.low").alias("__id"), F.col("k.__digest").alias("__digest")), "keepers")
-    return mine.join(keep, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
+    texts = mine.groupBy("digest").agg(F.min("id").alias("low"))
+    rooted = texts.join(groups, "digest", "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
+    keep = written(rooted.groupBy("root").agg(F.min(F.struct("low", "digest")).alias("k")).select(F.col("k.low").alias("id"), "k.digest"), "keepers")
+    return mine.join(keep, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,11 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a folder of this machine is made and
-    recorded in the session, so that later calls agree.
+    Only where the session names none and runs on this machine alone (tests, a laptop) a folder of
+    its own is made and recorded in the session, so that later calls agree.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + (made := tempfile.mkdtemp(prefix="shared-"))
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -47,7 +50,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if jvm := getattr(spark, "_jvm", None):
+        jvm.System.gc()
     return out
 
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from helpers import awkward, table, words
+from pyspark.sql import functions as F
 
 from tessellate.llm import mixing, quality
 from tessellate.llm.queries import QUERIES
@@ -104,6 +105,34 @@ def test_mixed_documents_repeat_rows(spark):
     assert sum(times.values()) == sum(want.values())
 
 
+def test_mixed_documents_keep_rows_that_differ_elsewhere(spark):
+    # equal id, source and text, other languages; column names as the operator's own
+    plain = [(i, f"word{i} " * 30, "en", "a") for i in range(50)]
+    rows = plain + [(None, "same text " * 20, f"l{k}", "a") for k in range(40)] + [(900, "b " * 50, "en", "b")]
+    docs = table(spark, rows).withColumnsRenamed({"score": "row", "bucket": "n", "t": "k", "fingerprint": "id"})
+    out = mixing.mixed_documents(docs, weights=(1, 3), limit=30).collect()
+    d = {(r.doc_id, r.source): r for r in mixing.decisions(docs, weights=(1, 3), limit=30).collect()}
+    for (i, s), r in d.items():
+        mine = Counter(x.lang for x in out if (x.doc_id, x.source) == (i, s))
+        assert sum(mine.values()) == r.epochs * r.copies + r.chosen
+        assert not mine or max(mine.values()) - min(mine.values()) <= 1 and len(mine) <= r.copies
+    partly = mixing.mixed_documents(table(spark, [(1, "x y z", f"l{k}", "a") for k in range(10)] + [(2, "u v", "en", "b")] * 3), weights=(5, 1), limit=3).collect()
+    assert len({r.lang for r in partly if r.doc_id == 1}) == sum(r.doc_id == 1 for r in partly) > 0
+
+
+def test_buckets_stay_even_for_small_weights(spark):
+    from pyspark.sql import functions as F
+
+    rows = table(spark, [(i, f"w{i} x", "en", "a") for i in range(3000)])
+    light = F.when(F.col("doc_id") % 3 == 0, 0.01).otherwise(2.0)
+    plain = {r.doc_id: r.taken for r in mixing.mixed(rows, weight=light, limit=0.5).collect()}
+    old, mixing.BUCKET_ROWS = mixing.BUCKET_ROWS, 10
+    try:
+        assert {r.doc_id: r.taken for r in mixing.mixed(rows, weight=light, limit=0.5).collect()} == plain
+    finally:
+        mixing.BUCKET_ROWS = old
+
+
 def test_mixing_query(spark, sf):
     got = QUERIES["op8_mixing"](spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
@@ -195,6 +224,40 @@ def test_every_statistic_alone_can_reject():
     assert math.isclose(quality.CUT, 20.515, abs_tol=1e-3)
 
 
+def test_a_small_remainder_is_judged_with_another_group(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(rng.randint(60, 200)))
+    rows = [(i, prose(), "en", "a") for i in range(300)] + [(400, prose(), "sw", "x"), (401, "$$ | ## " * 40 + prose(), "sw", "x")]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(table(spark, rows)).collect()}
+    assert kept[400] and not kept[401]
+
+
+def concentrated(x, start, factor, steps):
+    """Centre and scatter by concentration steps, on whole bins of the logarithm of the distance."""
+    mean, cov = start, np.diag(np.array(quality.FLOORS) ** 2)
+    for _ in range(steps):
+        d2 = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
+        bins = np.floor(np.clip(np.log(d2 + 1e-9), -quality.REACH, quality.REACH) * quality.BINS_A_UNIT)
+        values, counts = np.unique(bins, return_counts=True)
+        top = values[np.flatnonzero(counts.cumsum() >= quality.SHARE * len(x))[0]]
+        near = x[bins <= top]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * factor + np.diag(np.array(quality.FLOORS) ** 2)
+    return np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
+
+
+def test_the_verdict_equals_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").withColumn("source", F.lit("one"))
+    got = quality.quality_rules(docs).collect()
+    good = [r for r in got if not r.base_failed]
+    lines = {r.doc_id: sum(bool(split(x)) for x in (r.text or "").split("\n")) for r in docs.select("doc_id", "text").collect()}
+    x = np.array([[math.log1p(r.n_words), math.log1p(r.word_chars / r.n_words), math.log1p(100 * r.n_symbols / r.word_chars), math.log1p(100 * r.n_dup_lines / max(1, lines[r.doc_id])), math.log1p(100 * r.n_repeat_words / r.n_words)] for r in good])
+    # percentile_approx gives a value of the data: the median itself for so few rows
+    start = np.sort(x, axis=0)[-(-len(x) // 2) - 1]
+    d2 = concentrated(x, start, quality.consistency(quality.SHARE, quality.DIMS), quality.STEPS)
+    assert np.allclose([r.distance2 for r in good], d2, rtol=1e-6)
+    assert [r.kept for r in good] == (d2 <= quality.CUT).tolist() and 0 < sum(d2 > quality.CUT) < 0.2 * len(good)
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.quality_rules(table(spark, [])).collect() == []
 
