@@ -348,13 +348,31 @@ def sorted_repeats(pieces: DataFrame, min_len: int) -> DataFrame:
     return mine.join(repeated, ["h1", "h2", "hlo"]).select("k1", "k2", "lo")
 
 
+def repeated_spans(keyed: DataFrame, min_len: int) -> DataFrame:
+    """``k1, k2, cut``: each text's maximal ranges of bytes that repeats of ``min_len`` cover."""
+    # a set, so that many equal rows of one text count once on either side of the shuffle
+    each = repeated_intervals(keyed, min_len).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))  # of one text
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, flat = b["cut"].offsets.to_numpy(), b["cut"].values
+            lo, hi = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
+            parts = [united(lo[i:j], hi[i:j]) for i, j in zip(at, at[1:])]
+            out = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["lo", "hi"])
+            ends = np.cumsum([0, *(len(x) for x, _ in parts)])
+            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out)], ["k1", "k2", "cut"])
+
+    return written(each.mapInArrow(unite, "k1 long, k2 long, cut array<struct<lo:long,hi:long>>"), "spans")
+
+
 def _inside(keyed: DataFrame, outer: DataFrame, min_len: int) -> DataFrame:
-    """``k1, k2, lo, hi`` of repeats of ``min_len`` bytes, given those of a lesser length, ``outer``.
+    """The spans of repeats of ``min_len`` bytes, given those of a lesser length, ``outer``.
 
     A longer repeat lies within the union of the shorter ones, so only its ranges are judged, and of
     equal ranges one stands for all: what stands twice as a whole goes, and is still compared.
     """
-    spans = outer.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))  # of one text
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -362,28 +380,31 @@ def _inside(keyed: DataFrame, outer: DataFrame, min_len: int) -> DataFrame:
         for b in batches:
             rows = []
             for k1, k2, t, ranges in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist(), b[3].to_pylist()):
-                lo, hi = united(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
-                for i, j in zip(lo.tolist(), hi.tolist()):
+                for r in ranges:
+                    i, j = r["lo"], r["hi"]
                     if j - i >= min_len:
                         d = xxhash.xxh3_128_digest(t[i:j])
                         rows.append((k1, k2, i, j - i, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), t[i:j]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["k1", "k2", "off", "size", "d1", "d2", "t"])
 
-    texts = keyed.where(F.octet_length("t") >= min_len).join(spans, ["k1", "k2"]).select("k1", "k2", "t", "cut")
+    some = outer.where(F.exists("cut", lambda c: c["hi"] - c["lo"] >= min_len))
+    texts = keyed.where(F.octet_length("t") >= min_len).join(some, ["k1", "k2"]).select("k1", "k2", "t", "cut")
     ranges = written(texts.mapInArrow(take, "k1 long, k2 long, off long, size long, d1 long, d2 long, t binary"), "ranges")
     many = written(ranges.groupBy("d1", "d2").agg(F.count("*").alias("n")), "range-classes")
     kinds = written(ranges.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "t").dropDuplicates(["k1", "k2"]), "range-kinds")
-    parts = written(repeated_intervals(kinds, min_len).distinct(), "inner-intervals")
-    placed = ranges.select("k1", "k2", "off", "size", "d1", "d2").join(many, ["d1", "d2"])
-    whole = placed.where("n > 1").select("k1", "k2", F.col("off").alias("lo"), (F.col("off") + F.col("size")).alias("hi"))
-    parts = parts.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "lo", "hi")
-    some = placed.where("n = 1").join(parts, ["d1", "d2"]).select("k1", "k2", (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
-    return whole.unionByName(some)
+    parts = repeated_spans(kinds, min_len).select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "cut")
+    placed = ranges.select("k1", "k2", "off", "size", "d1", "d2").join(many, ["d1", "d2"]).join(parts, ["d1", "d2"], "left")
+    moved = F.transform("cut", lambda c: F.struct((F.col("off") + c["lo"]).alias("lo"), (F.col("off") + c["hi"]).alias("hi")))
+    cut = F.when(F.col("n") > 1, F.array(F.struct(F.col("off").alias("lo"), (F.col("off") + F.col("size")).alias("hi")))).otherwise(F.coalesce(moved, F.array()))
+    # ranges of one text don't touch; equal rows have equal ones
+    return written(placed.withColumn("cut", cut).groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_set("cut"))).alias("cut")), "inner-spans")
 
 
 def _characters(raw: bytes, lo: list[int], hi: list[int]) -> bytes:
     """``raw`` without the ranges; a character that a range covers in part stays whole."""
+    if not lo:
+        return raw
     inside = lambda p: p < len(raw) and raw[p] & 0xC0 == 0x80
     for k in range(len(lo)):
         while inside(lo[k]):
@@ -407,15 +428,13 @@ def dedup_suffixes(docs: DataFrame, *, min_len: int = 400, passage_len: int | No
     """
     small_batches(docs.sparkSession)
     keyed = _keys(docs, doc_id, text)
-    # ranges that touch or overlap are united within each text
     if passage_len is None:
-        ranges = written(repeated_intervals(keyed, min_len).distinct(), "intervals").select("*", F.lit(True).alias("long"))
+        outer = repeated_spans(keyed, min_len)
+        spans = outer
     else:
-        outer = written(repeated_intervals(keyed, passage_len).distinct(), "outer-intervals")
-        inner = written(_inside(keyed, outer, min_len).distinct(), "intervals")
-        ranges = inner.select("*", F.lit(True).alias("long")).unionByName(outer.select("*", F.lit(False).alias("long")))
-    spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "long")).alias("cut"))  # of one text
-    near = F.broadcast(ranges.select(_bucket()).distinct())
+        outer = repeated_spans(keyed, passage_len)
+        spans = outer.withColumnRenamed("cut", "passages").join(_inside(keyed, outer, min_len), ["k1", "k2"], "left").select("k1", "k2", "cut", "passages")
+    near = F.broadcast(outer.select(_bucket()).distinct())
     tagged = keyed.withColumn("bucket", _bucket())
     ident, zero = F.when(F.col("k1") != -(2**63), F.col("k1")).alias("doc_id"), F.lit(0).cast("long")
     columns = ["n_bytes", "n_removed", "n_spans", "kept"] + ["passage_bytes", "passage_spans", "text"] * (passage_len is not None)
@@ -425,17 +444,18 @@ def dedup_suffixes(docs: DataFrame, *, min_len: int = 400, passage_len: int | No
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t, ranges in zip(b[1].to_pylist(), b[2].to_pylist()):
-                row = [len(t)]
-                for long in (True, False)[: 1 + (passage_len is not None)]:
-                    own = [(r["lo"], r["hi"]) for r in ranges or () if r["long"] == long]
-                    lo, hi = map(np.ndarray.tolist, united(*np.array(own).T)) if own else ([], [])
-                    row += [sum(hi) - sum(lo), len(lo), b"".join(t[i:j] for i, j in zip([0, *hi], [*lo, len(t)])) if long else _characters(t, lo, hi).decode()]
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([b[0], *(pa.array(x, pa.binary() if c == "kept" else pa.string() if c == "text" else pa.int64()) for c, x in zip(columns, zip(*rows)))], ["k1", *columns]) if rows else pa.RecordBatch.from_arrays([b[0], *(pa.array([], pa.binary() if c == "kept" else pa.string() if c == "text" else pa.int64()) for c in columns)], ["k1", *columns])
-
-    maybe = tagged.join(near, "bucket", "left_semi").drop("bucket").join(spans, ["k1", "k2"], "left").select("k1", "t", "cut")
+            out: dict[str, list] = {c: [] for c in columns}
+            texts = b[1].to_pylist()
+            for k in range(2, b.num_columns):
+                for t, ranges in zip(texts, b[k].to_pylist()):
+                    lo, hi = [r["lo"] for r in ranges or ()], [r["hi"] for r in ranges or ()]
+                    out[columns[3 * k - 5]].append(sum(hi) - sum(lo))
+                    out[columns[3 * k - 4]].append(len(lo))
+                    out[columns[3 * k - 3]].append((t if not lo else b"".join(t[i:j] for i, j in zip([0, *hi], [*lo, len(t)]))) if k == 2 else _characters(t, lo, hi).decode())
+            out["n_bytes"] = [len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b[0], *(pa.array(x, pa.binary() if c == "kept" else pa.string() if c == "text" else pa.int64()) for c, x in out.items())], ["k1", *columns])
+
+    maybe = tagged.join(near, "bucket", "left_semi").drop("bucket").join(spans, ["k1", "k2"], "left").select("k1", "t", *spans.columns[2:])
     done = maybe.mapInArrow(remove, "k1 long, " + ", ".join(f"{c} {kinds.get(c, 'long')}" for c in columns)).select(ident, *columns)
     return clean.unionByName(done)
 
@@ -447,9 +467,8 @@ def without_repeats(docs: DataFrame, *, min_len: int, doc_id: str = "doc_id", te
     table has it, follows the text. Null texts stay null.
     """
     small_batches(docs.sparkSession)
-    cut = written(repeated_intervals(_keys(docs, doc_id, text), min_len).distinct(), "intervals")
-    spans = cut.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))  # of one text
-    near = F.broadcast(cut.select(_bucket()).distinct())
+    spans = repeated_spans(_keys(docs, doc_id, text), min_len)
+    near = F.broadcast(spans.select(_bucket()).distinct())
     # the caller's row stands in a struct, so that no name can clash
     keyed = _keys(docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("i"), F.col(text).alias("s")), "i", "s", "row").drop("t").withColumn("bucket", _bucket())
     clean = keyed.join(near, "bucket", "left_anti").select("row.*")
@@ -463,8 +482,7 @@ def without_repeats(docs: DataFrame, *, min_len: int, doc_id: str = "doc_id", te
             out = []
             for t, ranges in zip(columns[at].to_pylist(), b[b.num_columns - 1].to_pylist()):
                 if t is not None and ranges:
-                    lo, hi = united(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
-                    t = _characters(t.encode(), lo.tolist(), hi.tolist()).decode()
+                    t = _characters(t.encode(), [r["lo"] for r in ranges], [r["hi"] for r in ranges]).decode()
                 out.append(t)
             columns[at] = pa.array(out, columns[at].type)
             if n_chars is not None:
