@@ -178,8 +178,17 @@ def delete_recursive(tables: dict[str, DataFrame], model: type[Model], where: An
     return out
 
 
-def limited(table: DataFrame, order: list[Any], n: int, change, **options) -> Change:
-    """UPDATE or DELETE of the first ``n`` rows in order only."""
+def limited(table: DataFrame, order: list[Any], n: int, change, key: str | None = None, **options) -> Change:
+    """UPDATE or DELETE of the first ``n`` rows in order only.
+
+    With a unique ``key`` the first rows are a top-n of each task, merged; without one the whole
+    table is numbered in one task.
+    """
+    if key:
+        top = table.orderBy(*map(col, order)).limit(n).select(F.col(key).alias("__k"))
+        marked = table.join(top.withColumn("__hit", F.lit(True)), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k").withColumnRenamed("__hit", "__first")
+        out = change(marked, where=F.col("__first").isNotNull(), **options)
+        return Change(out.table.drop("__first"), out.affected.drop("__first"))
     ranked = table.withColumn("__rn", F.row_number().over(Window.orderBy(*map(col, order))))
     out = change(ranked, where=F.col("__rn") <= n, **options)
     return Change(out.table.drop("__rn"), out.affected.drop("__rn"))

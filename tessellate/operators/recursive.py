@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 
 def recursive_all(spark: SparkSession, name: str, columns: list[str], base: str, step: str, final: str | None = None, levels: int = 100) -> DataFrame:
     """``WITH RECURSIVE name(columns) AS (base UNION ALL step)``; the step's end is its own."""
@@ -18,29 +19,23 @@ def recursive_all(spark: SparkSession, name: str, columns: list[str], base: str,
 def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 1000) -> DataFrame:
     """Rows reached from ``base`` by repeating ``step`` on the new ones, each once.
 
-    Every round is cut off by a checkpoint in the shared folder, so that plans don't grow and lost
-    executors don't matter; rounds end when nothing new comes, which also ends cycles.
+    Every round is written to the shared folder and read again, so that plans don't grow and lost
+    executors don't matter; a round writes its new rows alone. Rounds end when nothing new comes,
+    which also ends cycles.
     """
     spark = base.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import atexit
-        import shutil
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"{folder}/{uuid.uuid4().hex}")
-    seen = base.distinct().checkpoint()
-    fresh = seen
-    for _ in range(limit):
-        new = step(fresh).toDF(*base.columns).distinct()
-        old = seen.toDF(*(f"__{c}" for c in base.columns))
-        fresh = new.join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in base.columns], "left_anti").checkpoint()
+    folder = scratch(spark, "fixpoint")
+    fresh = base.distinct()
+    for k in range(limit):
+        fresh.write.parquet(f"{folder}/round={k}")
+        fresh = spark.read.schema(base.schema).parquet(f"{folder}/round={k}")
+        seen = spark.read.schema(base.schema).parquet(*(f"{folder}/round={i}" for i in range(k + 1)))
         if fresh.isEmpty():
             return seen
-        seen = seen.union(fresh).checkpoint()
+        old = seen.toDF(*(f"__{c}" for c in base.columns))
+        new = step(fresh).toDF(*base.columns).distinct()
+        new = new.select(*(F.col(f.name).cast(f.dataType) for f in base.schema))
+        fresh = new.join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in base.columns], "left_anti")
     raise RecursionError(f"no end after {limit} rounds")
 
 

@@ -300,7 +300,7 @@ class Query:
             items = [Expr(F.col(f"`{c}`"), c) for c in names]
         names = unique_names([item_name(x, k) for k, x in enumerate(items)])
         out = [col(x).alias(f"__c{k}") for k, x in enumerate(items)]
-        hidden, order = [], []
+        hidden, order, descending = [], [], []
         for o in self.order:
             if isinstance(o, str):
                 desc = o.startswith("-")
@@ -310,6 +310,7 @@ class Query:
                 o = o if isinstance(o, Order) else Order(o)
                 name = f"__o{len(hidden)}"
                 hidden.append((col(o.expr).alias(name), o.on(F.col(name)), name))
+                descending.append(o.descending)
                 order.append(hidden[-1][1])
         extra = [h[0] for h in hidden]
         if (having := self._all(self.havings)) is not None:
@@ -326,7 +327,11 @@ class Query:
             df = df.filter("__having").drop("__having")
         visible = [f"__c{k}" for k in range(len(out))]
         if self.distinct_ is True:
-            df = df.dropDuplicates(visible) if not hidden else df.dropDuplicates([*visible, *(h[2] for h in hidden)])
+            if hidden:  # of equal rows the first in each term of the order stands
+                low = [(F.max if desc else F.min)(name).alias(name) for (_, _, name), desc in zip(hidden, descending)]
+                df = df.groupBy(*visible).agg(*low)
+            else:
+                df = df.dropDuplicates(visible)
         elif keys:
             w = Window.partitionBy(*(F.col(f"__k{i}") for i in range(len(keys)))).orderBy(*(order or [F.lit(1)]))
             df = df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
@@ -357,7 +362,10 @@ class Query:
         rows = self.limit(n).df().take(n)
         return rows if n > 1 else (rows[0] if rows else None)
 
-    peek = first
+    def peek(self, n: int = 1):
+        """As ``first``, without a limit in the plan."""
+        rows = self.df().take(n)
+        return rows if n > 1 else (rows[0] if rows else None)
 
     def get(self):
         row = self.first()
@@ -396,8 +404,13 @@ class Query:
     def __getitem__(self, key):
         if isinstance(key, slice):
             start = key.start or 0
-            return self._with(offset_=(self.offset_ or 0) + start, limit_=None if key.stop is None else key.stop - start)
-        rows = self._with(offset_=key, limit_=1).df().take(1)
+            if start < 0 or (key.stop or 0) < 0 or key.step not in (None, 1):
+                raise ValueError("slices count from the start, one by one")
+            ends = [max(n - start, 0) for n in (key.stop, self.limit_) if n is not None]
+            return self._with(offset_=(self.offset_ or 0) + start, limit_=min(ends, default=None))
+        if key < 0:
+            raise ValueError("indexes count from the start")
+        rows = [] if self.limit_ is not None and key >= self.limit_ else self._with(offset_=(self.offset_ or 0) + key, limit_=1).df().take(1)
         if not rows:
             raise IndexError(key)
         return rows[0]

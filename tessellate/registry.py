@@ -18,6 +18,7 @@ from .plans.expr import Row, all_of, any_of, case, exists, fn, sql, value
 from .plans.query import DQ, Table
 from .plans.windows import excluding, over_groups, preceding, spec
 from .session import Database
+from .sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,9 +133,9 @@ def filter_by_path(db):
     return db.select(O.o_orderkey).filter(DQ(customer__nation__n_name="NATION_3") | DQ(o_totalprice__gte=450000), ~DQ(o_orderstatus="F"))
 
 
-@query("SELECT DISTINCT s_suppkey, p_brand FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_suppkey <= 10")
+@query("SELECT DISTINCT s_suppkey, p_brand FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey")
 def many_to_many(db):
-    return db.select(S.s_suppkey, P.p_brand).from_(S).join(L).join(P).where(S.s_suppkey <= 10).distinct()
+    return db.select(S.s_suppkey, P.p_brand).from_(S).join(L).join(P).distinct()
 
 
 @query("""SELECT DISTINCT a.l_orderkey AS o FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey JOIN lineitem c ON b.l_orderkey = c.l_orderkey
@@ -188,10 +189,10 @@ def contains_ci(db):
     return db.select(P.p_partkey, P.p_name.ilike("%RT_1%").alias("c_raw"), P.p_name.contains("_1").alias("c_lit"), P.p_type.startswith("ST").alias("s"), P.p_brand.endswith("1").alias("e"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END AS size, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS flag FROM lineitem WHERE l_orderkey < 500")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END AS size, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS flag FROM lineitem")
 def case_buckets(db):
     size = case(None, [(L.l_quantity < 10, "small"), (L.l_quantity < 30, "middle")], "large")
-    return db.select(L.order.alias("l_orderkey"), L.l_linenumber, size.alias("size"), case(L.l_returnflag, [("A", 1), ("R", 2)]).alias("flag")).where(L.order < 500)
+    return db.select(L.order.alias("l_orderkey"), L.l_linenumber, size.alias("size"), case(L.l_returnflag, [("A", 1), ("R", 2)]).alias("flag"))
 
 
 @query("SELECT p_partkey, coalesce(nullif(p_size, 1), -1) AS size, ifnull(nullif(p_brand, 'Brand#11'), 'none') AS brand, greatest(p_size, 10) AS hi, least(p_size, 10) AS lo FROM part")
@@ -301,10 +302,11 @@ def recursive_chain(db):
     return recursive_all(db.spark, "chain", ["k", "step"], "SELECT 0, 0", "SELECT n_nationkey, step + 1 FROM nation JOIN chain ON n_nationkey = k + 2", "SELECT k, step FROM chain")
 
 
-@query("WITH RECURSIVE reach(k) AS (SELECT 0 UNION SELECT CAST(unnest([(k * 2 + 1) % 25, (k + 7) % 25]) AS INTEGER) FROM reach) SELECT k FROM reach")
+@query("WITH RECURSIVE edge(src, dst) AS (SELECT c_custkey, c_custkey // 10 FROM customer), reach(k) AS (SELECT c_custkey FROM customer WHERE c_acctbal > 9000 UNION SELECT dst FROM reach JOIN edge ON src = k) SELECT k FROM reach")
 def recursive_distinct(db):
-    start = db.spark.createDataFrame([(0,)], "k int")
-    return fixpoint(start, lambda f: f.select(((F.col("k") * 2 + 1) % 25).alias("k")).union(f.select(((F.col("k") + 7) % 25).alias("k"))))
+    edges = db.table("customer").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 10").alias("dst"))
+    start = db.table("customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("k"))
+    return fixpoint(start, lambda f: f.join(edges, F.col("k") == F.col("src")).select(F.col("dst").alias("k")))
 
 
 @query("SELECT c_custkey, c_acctbal > (SELECT avg(c_acctbal) FROM customer) AS above, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer")
@@ -435,12 +437,12 @@ def moving_avg_rows(db):
     return db.select(O.o_orderkey, r4(fn.avg(O.o_totalprice).over(partition_by=[O.customer], order_by=[O.o_orderkey], start=preceding(2), end=following(1))).alias("m"))
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM lineitem")
 def range_frame(db):
     from .plans.windows import following
 
     n = fn.count().over(partition_by=[L.order], order_by=[L.l_quantity], start=preceding(5), end=following(5), frame="range")
-    return db.select(L.order.alias("l_orderkey"), L.l_linenumber, n.alias("n")).where(L.order < 2000)
+    return db.select(L.order.alias("l_orderkey"), L.l_linenumber, n.alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_discount GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW), 4) AS q FROM lineitem")
@@ -554,9 +556,9 @@ def hostname_counts(db):
     return db.table("pages").groupBy(host).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER) AS n, trim(substr(text, 1, 40), ' .|') AS t FROM documents")
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER) AS n, trim(text, ' .|') AS t FROM documents")
 def substr_count(db):
-    return db.select(Documents.doc_id, fn.substr_count(Documents.text, "the").alias("n"), fn.strip_chars(fn.substr(Documents.text, 1, 40), " .|").alias("t"))
+    return db.select(Documents.doc_id, fn.substr_count(Documents.text, "the").alias("n"), fn.strip_chars(Documents.text, " .|").alias("t"))
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
@@ -565,10 +567,11 @@ def levenshtein_pairs(db):
     return db.select(a.n_name.alias("a"), b.n_name.alias("b"), fn.levenshtein_dist(a.n_name, b.n_name).cast("bigint").alias("d")).from_(a).join(b, on=a.n_nationkey < b.n_nationkey)
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0 seconds' ELSE concat_ws(', ', CASE WHEN o_orderkey // 3600 > 0 THEN (o_orderkey // 3600) || ' hour' || CASE WHEN o_orderkey // 3600 > 1 THEN 's' ELSE '' END END,
-CASE WHEN o_orderkey % 3600 // 60 > 0 THEN (o_orderkey % 3600 // 60) || ' minute' || CASE WHEN o_orderkey % 3600 // 60 > 1 THEN 's' ELSE '' END END, CASE WHEN o_orderkey % 60 > 0 THEN (o_orderkey % 60) || ' second' || CASE WHEN o_orderkey % 60 > 1 THEN 's' ELSE '' END END) END AS t FROM orders WHERE o_orderkey < 80000""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN '0 seconds' ELSE concat_ws(', ', CASE WHEN o_orderkey // 86400 > 0 THEN (o_orderkey // 86400) || ' day' || CASE WHEN o_orderkey // 86400 > 1 THEN 's' ELSE '' END END,
+CASE WHEN o_orderkey % 86400 // 3600 > 0 THEN (o_orderkey % 86400 // 3600) || ' hour' || CASE WHEN o_orderkey % 86400 // 3600 > 1 THEN 's' ELSE '' END END,
+CASE WHEN o_orderkey % 3600 // 60 > 0 THEN (o_orderkey % 3600 // 60) || ' minute' || CASE WHEN o_orderkey % 3600 // 60 > 1 THEN 's' ELSE '' END END, CASE WHEN o_orderkey % 60 > 0 THEN (o_orderkey % 60) || ' second' || CASE WHEN o_orderkey % 60 > 1 THEN 's' ELSE '' END END) END AS t FROM orders""")
 def human_delta(db):
-    return db.select(O.o_orderkey, fn.human_delta(O.o_orderkey).alias("t")).where(O.o_orderkey < 80000)
+    return db.select(O.o_orderkey, fn.human_delta(O.o_orderkey).alias("t"))
 
 
 @query("SELECT p_partkey, TRY_CAST(CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) || 'e1' END AS DOUBLE) AS n, replace('1995-01-0' || (p_size % 9 + 1) || 'T10:00', 'T', ' ') AS s FROM part")
@@ -603,18 +606,18 @@ def json_contains(db):
     return db.select(E.event_id, Json(E.props).contains({"k": 7}).alias("c"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'x' AS new, 2 AS n FROM events WHERE event_id < 2000")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'x' AS new, 2 AS n FROM events")
 def json_update(db):
     doc = value(changed(E.props, patched, (), {"new": "x", "a": [1, 2]}))
     j = Json(doc)
-    return db.select(E.event_id, j["k"].as_int().alias("k"), j["new"].as_text().alias("new"), j["a"].length().alias("n")).where(E.event_id < 2000)
+    return db.select(E.event_id, j["k"].as_int().alias("k"), j["new"].as_text().alias("new"), j["a"].length().alias("n"))
 
 
-@query("SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS v FROM events WHERE event_id < 1000")
+@query("SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS v FROM events")
 def json_each(db):
     from .functions.json_ops import children
 
-    return children(db.table("events").where("event_id < 1000").select("event_id", "props"), "props").select("event_id", "key", F.col("value").alias("v"))
+    return children(db.table("events").select("event_id", "props"), "props").select("event_id", "key", F.col("value").alias("v"))
 
 
 @query("SELECT vec_id, list_contains(list_transform(embedding[1:4], lambda x: x > 0), true) AS any, len(embedding) AS n, round(embedding[1], 5) AS a, round(embedding[-1], 5) AS z, len(embedding[2:5]) AS part FROM embeddings")
@@ -682,23 +685,23 @@ def search_vocabulary(db):
 # --- changes
 
 
-@query("SELECT c_custkey, c_name, CASE WHEN c_custkey <= 10 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <= 100 UNION ALL SELECT 1000001, 'new', 0.0")
+@query("SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT 100000001, 'new', 0.0")
 def upsert_replace(db):
-    old = db.table("customer").where("c_custkey <= 100").select("c_custkey", "c_name", "c_acctbal")
-    new = old.where("c_custkey <= 10").withColumn("c_acctbal", F.lit(0.0)).union(db.spark.createDataFrame([(1000001, "new", 0.0)], old.schema))
+    old = db.table("customer").select("c_custkey", "c_name", "c_acctbal")
+    new = old.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)).union(db.spark.createDataFrame([(100000001, "new", 0.0)], old.schema))
     return dml.replace(old, new, ["c_custkey"]).table
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey <= 50 UNION ALL SELECT 1000001, 1.0")
+@query("SELECT c_custkey, c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000, 1.0 FROM customer WHERE c_custkey + 1000 NOT IN (SELECT c_custkey FROM customer)")
 def upsert_ignore(db):
-    old = db.table("customer").where("c_custkey <= 50").select("c_custkey", "c_acctbal")
-    return dml.ignore(old, db.spark.createDataFrame([(7, -1.0), (1000001, 1.0)], old.schema), ["c_custkey"]).table
+    old = db.table("customer").select("c_custkey", "c_acctbal")
+    return dml.ignore(old, old.select((F.col("c_custkey") + 1000).alias("c_custkey"), F.lit(1.0).alias("c_acctbal")), ["c_custkey"]).table
 
 
-@query("SELECT c_custkey, c_acctbal + CASE WHEN c_custkey BETWEEN 1 AND 5 AND c_acctbal > 0 THEN 10 ELSE 0 END AS c_acctbal FROM customer WHERE c_custkey <= 50 UNION ALL SELECT 1000001, 10.0")
+@query("SELECT c_custkey, c_acctbal + CASE WHEN c_acctbal > 0 AND c_custkey - 1000 IN (SELECT c_custkey FROM customer) THEN 10 ELSE 0 END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000, 10.0 FROM customer WHERE c_custkey + 1000 NOT IN (SELECT c_custkey FROM customer)")
 def upsert_update(db):
-    old = db.table("customer").where("c_custkey <= 50").select("c_custkey", "c_acctbal")
-    new = db.spark.createDataFrame([*((k, 10.0) for k in range(1, 6)), (1000001, 10.0)], old.schema)
+    old = db.table("customer").select("c_custkey", "c_acctbal")
+    new = old.select((F.col("c_custkey") + 1000).alias("c_custkey"), F.lit(10.0).alias("c_acctbal"))
     return dml.upsert(old, new, ["c_custkey"], update={"c_acctbal": F.col("old.c_acctbal") + F.col("new.c_acctbal")}, where=F.col("old.c_acctbal") > 0).table
 
 
@@ -757,10 +760,10 @@ def nested_prefetch(db):
     return nested.select("c_custkey", F.size("orders").cast("bigint").alias("n"), F.round(total, 4).alias("total"))
 
 
-@query("SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def nested_parent(db):
     customer = relations.Load("customer", db.table("customer"), "c_custkey", "o_custkey", many=False).then(relations.Load("nation", db.table("nation"), "n_nationkey", "c_nationkey", many=False))
-    return relations.nested(db.table("orders").where("o_orderkey < 500"), customer).select("o_orderkey", F.col("customer.nation.n_name").alias("n_name"))
+    return relations.nested(db.table("orders"), customer).select("o_orderkey", F.col("customer.nation.n_name").alias("n_name"))
 
 
 @query("SELECT c_custkey, o_orderkey IS NULL AS none FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000")
@@ -784,4 +787,202 @@ def count_exists_scalar(db):
     return db.select(value(n).alias("n"), exists(q).alias("any"), value(100).cast("bigint").alias("k"))
 
 
+# --- more of the builder
+
+
+@query("SELECT o_orderstatus AS s FROM orders GROUP BY 1")
+def distinct_ordered(db):
+    return db.select(O.o_orderstatus.alias("s")).distinct().order_by(O.o_totalprice.desc(), O.o_orderkey)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3 OFFSET 2")
+def slice_of_a_limit(db):
+    return db.select(O.o_orderkey).order_by(O.o_orderkey).limit(5)[2:50]
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING' OR c_nationkey = 3")
+def or_where(db):
+    return db.select(C_.c_custkey).select_extend(C_.c_name, C_.c_acctbal).where(C_.c_acctbal < 0).orwhere(C_.c_mktsegment == "BUILDING").orwhere(C_.nation == 3)
+
+
+@query("SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2")
+def group_extended(db):
+    return db.select(O.customer, O.o_orderstatus, fn.count().alias("n")).from_(O).group_by(O.customer).group_by_extend(O.o_orderstatus).order_by(O.customer).order_by_extend(O.o_orderstatus)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+def default_projection_subquery(db):
+    return db.select(N.n_nationkey, N.n_name).where(N.region.in_(db.select(R).where(R.r_name.like("A%"))))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000 UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def compound_in(db):
+    both = db.select(S.nation.alias("k")).where(S.s_acctbal > 9000) | db.select(N.n_nationkey.alias("k")).where(N.region == 2)
+    return db.select(C_.c_custkey).where(C_.nation.in_(both))
+
+
+@query("SELECT o_orderpriority AS p, count(*) AS n, round(sum(o_totalprice), 4) AS total FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def materialized_cte(db):
+    open_ = db.select(O.o_orderpriority, O.o_totalprice).where(O.o_orderstatus == "O").cte("open", materialized=True)
+    return db.select(open_.c.o_orderpriority.alias("p"), fn.count().alias("n"), r4(fn.sum(open_.c.o_totalprice)).alias("total")).from_(open_).group_by(open_.c.o_orderpriority)
+
+
+@query("SELECT p_partkey, p_size IS NULL AS none, p_size IS NOT NULL AS some, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS kind, '.txt' AS ext, p_name AS back FROM part")
+def null_tests_and_text(db):
+    kind = fn.if_then_else(P.p_size > 25, "big", "small")
+    ext = text.file_ext(F.concat("p_name", F.lit(".txt")))
+    back = F.decode(text.gunzip(text.gzip(F.col("p_name"))), "utf-8")
+    return db.select(P.p_partkey, P.p_size.is_null(True).alias("none"), P.p_size.is_null(False).alias("some"), kind.alias("kind"), value(ext).alias("ext"), value(back).alias("back"))
+
+
+# --- JSON once more: comparisons, changes, types, aggregates
+
+
+@query("SELECT event_id, k = 7 AS eq, k <> 7 AS ne, k < 10 AS lt, k <= 10 AS le, k >= 90 AS ge, k BETWEEN 10 AND 20 AS mid, k IN (1, 2, 3) AS any_, k NOT IN (1, 2) AS none FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def json_compare(db):
+    k = Json(E.props)["k"]
+    return db.select(E.event_id, (k == 7).alias("eq"), (k != 7).alias("ne"), (k < 10).alias("lt"), (k <= 10).alias("le"), (k >= 90).alias("ge"), k.between(10, 20).alias("mid"), k.in_([1, 2, 3]).alias("any_"), k.not_in([1, 2]).alias("none"))
+
+
+@query("SELECT event_id, t LIKE '1%' AS lk, regexp_matches(t, '^[0-9]$') AS one, starts_with(t, '9') AS st, ends_with(t, '0') AS en FROM (SELECT event_id, json_extract_string(props, '$.k') AS t FROM events)")
+def json_text_tests(db):
+    k = Json(E.props)["k"]
+    return db.select(E.event_id, k.like("1%").alias("lk"), k.regexp("^[0-9]$").alias("one"), k.startswith("9").alias("st"), k.endswith("0").alias("en"))
+
+
+@query("SELECT event_id, 1 AS made, k AS kept, true AS missing, 1 AS appended, true AS removed, 3 AS m, k AS still FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def json_changes(db):
+    j = Json(E.props)
+    return db.select(
+        E.event_id, Json(j["a"]["b"].set(1))["a"]["b"].as_int().cast("int").alias("made"), Json(j["k"].insert(0))["k"].as_int().alias("kept"), (Json(j["z"].replace(1))["z"] == None).alias("missing"),  # noqa: E711
+        Json(j["list"].append(5))["list"].length().alias("appended"), (Json(j["k"].remove())["k"] == None).alias("removed"), Json(j.concat({"m": 3}))["m"].as_int().cast("int").alias("m"),  # noqa: E711
+        Json(j.concat({"m": 3}))["k"].as_int().alias("still"),
+    )
+
+
+@query("SELECT event_id, 'object' AS d, 'string' AS s, 'number' AS n, 'array' AS l, 'boolean' AS b, 2 AS size, user_id AS first, event_id AS last, event_type IN ('view', 'click') AS any_ FROM events")
+def json_types(db):
+    made = F.to_json(F.struct(F.col("event_type").alias("s"), (F.col("value") + 0.5).alias("n"), F.array("user_id", "event_id").alias("l"), (F.col("value") > 10).alias("b")))
+    j = Json(value(made))
+    return db.select(
+        E.event_id, j.type().alias("d"), j["s"].type().alias("s"), j["n"].type().alias("n"), j["l"].type().alias("l"), j["b"].type().alias("b"), j["l"].length().alias("size"),
+        j["l"][0].as_int().alias("first"), j["l"][-1].as_int().alias("last"), j["s"].in_(["view", "click"]).alias("any_"),
+    )
+
+
+@query("SELECT n_regionkey, count(*) AS n, count(*) AS keys FROM nation GROUP BY 1")
+def json_aggregates(db):
+    nation = db.table("nation").groupBy("n_regionkey").agg(A.json_group_array(F.col("n_name")).alias("a"), A.json_group_object(F.col("n_name"), F.col("n_nationkey")).alias("o"))
+    return nation.select("n_regionkey", F.json_array_length("a").cast("bigint").alias("n"), F.size(F.json_object_keys("o")).cast("bigint").alias("keys"))
+
+
+@query("SELECT l_orderkey, f = ['N'] AS only, f < ['N'] AS less, f >= ['A', 'R'] AS more, len(f) AS n, list_transform(f, lambda x: lower(x))[1] AS low FROM (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS f FROM lineitem GROUP BY 1)")
+def array_compare(db):
+    f, lit = F.col("f"), lambda *x: F.array(*map(F.lit, x))
+    rows = db.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("f"))
+    return rows.select("l_orderkey", (f == lit("N")).alias("only"), (f < lit("N")).alias("less"), (f >= lit("A", "R")).alias("more"), F.size(f).cast("bigint").alias("n"), C.item(C.each(f, F.lower), 0).alias("low"))
+
+
+@query("SELECT event_id, event_type = 'view' AS same, true AS both, true AS any_, false AS other FROM events")
+def map_contains(db):
+    m = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    return db.table("events").select("event_id", C.contains_map(m, {"type": "view"}).alias("same"), C.has_all(m, "type", "user").alias("both"), C.has_any(m, "x", "type").alias("any_"), C.has_any(m, "x", "y").alias("other"))
+
+
+# --- files
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(db):
+    from .sources.files import read_csv, write_csv
+
+    path, nation = scratch(db.spark, "csv"), db.table("nation")
+    write_csv(nation, path)
+    return read_csv(db.spark, path, nation.schema, strict=True)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def tsv_round_trip(db):
+    from .sources.files import read_tsv, write_tsv
+
+    path, rows = scratch(db.spark, "tsv"), db.table("supplier").select("s_suppkey", "s_name", "s_acctbal")
+    write_tsv(rows, path)
+    return read_tsv(db.spark, path, rows.schema, multi_line=False)
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def json_round_trip(db):
+    from .sources.files import read_json, write_json
+
+    path, rows = scratch(db.spark, "json"), db.table("events").select("event_id", "event_type", "value")
+    write_json(rows, path)
+    return read_json(db.spark, path, rows.schema, lines=True)
+
+
+# --- changes once more
+
+
+@query("SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT max(n_nationkey) + 1, 'x', 1 FROM nation UNION ALL SELECT max(n_nationkey) + 2, 'y', 2 FROM nation UNION ALL SELECT 500, 'if', 0")
+def bulk_changes(db):
+    nation = db.table("nation")
+    more = dml.bulk_create(nation, [{"n_name": "x", "n_regionkey": 1}, {"n_name": "y", "n_regionkey": 2}], "n_nationkey").table
+    more = dml.bulk_update(more, [{"n_nationkey": 1, "n_name": "one"}, {"n_nationkey": 2, "n_name": "two"}], "n_nationkey", ["n_name"]).table
+    more = dml.insert_where(more, {"n_nationkey": 500, "n_name": "if", "n_regionkey": 0}, nation.where("n_regionkey = 0")).table
+    return dml.insert_where(more, {"n_nationkey": 501, "n_name": "not", "n_regionkey": 0}, nation.where("n_regionkey = 99")).table
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 10, 'a' UNION ALL SELECT 11, 'b' UNION ALL SELECT NULL, NULL")
+def insert_rows(db):
+    region = db.table("region")
+    more = dml.insert_many(region, [(10, "a"), (11, "b")], ["r_regionkey", "r_name"]).table
+    return dml.insert(more).table
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10)")
+def limited_delete(db):
+    return dml.limited(db.table("part"), [F.col("p_retailprice").desc(), F.col("p_partkey")], 10, dml.delete, key="p_partkey").table.select("p_partkey")
+
+
+# --- user functions
+
+
+@query("SELECT p_partkey, p_size * 2 + 1 AS twice, p_size % 2 = 0 AS even FROM part")
+def user_scalar(db):
+    from .functions.udf import Functions
+
+    known = Functions(db.spark)
+    known.scalar("twice_and_one", "int")(lambda x: None if x is None else 2 * x + 1)
+    known.scalar("is_even", "boolean")(lambda x: None if x is None else x % 2 == 0)
+    return db.table("part").select("p_partkey", known.twice_and_one(F.col("p_size")).alias("twice"), known.is_even(F.col("p_size")).alias("even"))
+
+
+@query("SELECT p_brand, sum(p_size) AS total FROM part GROUP BY 1")
+def user_aggregate(db):
+    from .functions.udf import Functions
+
+    known = Functions(db.spark)
+
+    @known.aggregate("total_size", "bigint")
+    class Total:
+        def __init__(self):
+            self.sum = 0
+
+        def step(self, x):
+            self.sum += int(x)
+
+        def finalize(self):
+            return self.sum
+
+    return db.table("part").groupBy("p_brand").agg(known.total_size(F.col("p_size")).alias("total"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY reverse(n_name)")
+def user_collation(db):
+    from .functions.udf import Functions
+
+    known = Functions(db.spark)
+    known.collation("backwards")(lambda s: s[::-1])
+    return db.table("nation").select("n_nationkey", "n_name").orderBy(known.sort_key("backwards", F.col("n_name")))
+
+
 __all__ = ["QUERIES", "ORACLE"]

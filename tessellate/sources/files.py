@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True, sep: str = ",", strict: bool = False) -> DataFrame:
-    """With a schema its types are declared; empty fields are NULL except in text. Strict: unknown columns are an error."""
-    options = {"header": header, "sep": sep, "quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "nullValue": "\x00"}
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True, sep: str = ",", strict: bool = False, multi_line: bool = True) -> DataFrame:
+    """With a schema its types are declared; empty fields are NULL except in text. Strict: unknown columns
+    are an error, and so are values that aren't of their type, which else are NULL. Without
+    ``multi_line`` no field may hold a line's end, and a large file is read by many tasks."""
+    options = {"header": header, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "emptyValue": "", "nullValue": "\x00"}
     df = spark.read.options(**options).csv(path)
     if schema is None:
         return df if header else df.toDF(*(f"field_{k + 1}" for k in range(len(df.columns))))
@@ -23,12 +25,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     for c in df.columns:
         kind = known.get(c, T.StringType())
         text = F.coalesce(F.col(f"`{c}`"), F.lit(""))
-        out.append((text if isinstance(kind, T.StringType) else F.nullif(text, F.lit("")).try_cast(kind)).alias(c))
+        typed = F.nullif(text, F.lit(""))
+        out.append((text if isinstance(kind, T.StringType) else typed.cast(kind) if strict else typed.try_cast(kind)).alias(c))
     return df.select(*out)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True, strict: bool = False) -> DataFrame:
-    return read_csv(spark, path, schema, header, "\t", strict)
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True, strict: bool = False, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, schema, header, "\t", strict, multi_line)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
