@@ -39,6 +39,8 @@ PIECE = 1 << 20
 BUCKETS = 1 << 18
 #: Suffixes of a range that one task sorts, on average.
 SORTED = 20_000
+#: First bytes by which suffixes are dealt out; a sample of them reaches the driver.
+RANGE_BYTES = 48
 
 
 def anchor_length(min_len: int) -> int:
@@ -342,7 +344,7 @@ def sorted_repeats(pieces: DataFrame, min_len: int) -> DataFrame:
         if waiting:
             yield sort_waiting()
 
-    repeated = suffixes.select("k1", "k2", "lo", "n", "suffix").repartitionByRange(ranges, "suffix").mapInArrow(sort_range, "k1 long, k2 long, lo long")
+    repeated = suffixes.select("k1", "k2", "lo", "n", "suffix").repartitionByRange(ranges, F.substring("suffix", 1, RANGE_BYTES)).mapInArrow(sort_range, "k1 long, k2 long, lo long")
     repeated = written(repeated.toDF("h1", "h2", "hlo"), "repeated")
     mine = open_.where("not known").select("k1", "k2", (F.col("piece") + F.col("step")).alias("lo"), "h1", "h2", "hlo")
     return mine.join(repeated, ["h1", "h2", "hlo"]).select("k1", "k2", "lo")
