@@ -79,7 +79,7 @@ FUNCTIONS = {
 }
 
 #: Those whose arguments may be plain Python values.
-RAW = {FUNCTIONS[n] for n in ("ntile", "lag", "lead", "nth_value", "lpad", "translate", "round", "date_part", "date_trunc", "extract", "strftime", "date_format", "json_extract", "slice", "exist", "defined", "delete", "substr_count", "strip_chars",
+RAW = {FUNCTIONS[n] for n in ("ntile", "lag", "lead", "nth_value", "lpad", "translate", "round", "date_part", "date_trunc", "extract", "strftime", "date_format", "json_extract", "slice", "exist", "defined", "delete", "substr_count", "strip_chars", "human_delta",
     "json_set", "jsonb_set", "json_insert", "jsonb_insert", "json_replace", "jsonb_replace", "json_array_append", "json_remove", "jsonb_remove", "json_patch", "jsonb_patch", "json_merge_patch", "json_type", "jsonb_typeof", "json_length",
     "json_contains_path", "json_overlaps", "jsonb_extract", "json_extract_path", "jsonb_extract_path", "jsonb_path_query", "jsonb_path_query_array", "jsonb_path_query_first")}
 DISTINCT = {"count": F.count_distinct, "sum": F.sum_distinct, "avg": lambda x: F.try_divide(F.sum_distinct(x), F.count_distinct(x)), "array_agg": F.collect_set, "group_concat": lambda x: F.array_join(F.array_sort(F.collect_set(x.cast("string"))), ","), "string_agg": lambda x: F.array_join(F.array_sort(F.collect_set(x.cast("string"))), ",")}

@@ -32,13 +32,13 @@ def strip_tz(x: Any) -> Column:
 UNITS = (("year", 365 * 86400), ("month", 30 * 86400), ("week", 7 * 86400), ("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1))
 
 
-def human_delta(seconds: Any, glue: str = ", ") -> Column:
-    """``2 hours, 5 minutes, 30 seconds``; nothing: ``0 seconds``."""
+def human_delta(seconds: Any, glue: str = ", ", largest: str = "year") -> Column:
+    """``2 hours, 5 minutes, 30 seconds``; nothing: ``0 seconds``. What is longer is counted in the ``largest`` unit."""
     rest, parts = F.abs(col(seconds).cast("long")), []
-    for name, size in UNITS:
-        n = F.floor(rest / size)
+    for name, size in UNITS[[name for name, _ in UNITS].index(largest) :]:
+        n = F.call_function("div", rest, F.lit(size))
         parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")))))
-        rest = rest - n * size
+        rest = rest % size
     text = F.concat_ws(glue, *parts)
     return F.when(col(seconds).isNotNull(), F.when(text == "", F.lit("0 seconds")).otherwise(text))
 
