@@ -44,7 +44,7 @@ def _has_path(x, how: str, paths: tuple):
 
 
 FUNCTIONS = {
-    "count": _count, "sum": F.sum, "avg": F.avg,
+    "count": _count, "sum": F.sum, "sum_key": A.sum_key, "avg": F.avg,
     "min": lambda *a: F.min(a[0]) if len(a) == 1 else F.least(*a), "max": lambda *a: F.max(a[0]) if len(a) == 1 else F.greatest(*a),
     "group_concat": A.string_agg, "string_agg": A.string_agg, "array_agg": A.array_agg, "json_group_array": A.json_group_array, "json_group_object": A.json_group_object,
     "median": A.median, "mode": A.mode, "range": A.value_range, "minrange": A.minrange, "avgrange": A.avgrange, "stddev": A.stddev,

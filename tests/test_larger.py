@@ -1,8 +1,14 @@
 """Registered queries against their SQL on tables that go beyond the smallest ones."""
 
+from fractions import Fraction
+from functools import reduce
+from operator import add
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tessellate.functions import aggregates as A
 from tessellate.functions import text
 from tessellate.registry import ORACLE, QUERIES
 
@@ -34,3 +40,32 @@ def test_human_delta_of_weeks_and_more(spark, agree):
     assert many(spark, lambda v: text.human_delta(v, largest="day"), days, "long") == ["7 days", "365 days, 1 second", None]
     assert many(spark, lambda v: text.human_delta(v), days, "long") == ["1 week", "1 year, 1 second", None]
     assert many(spark, lambda v: text.human_delta(v, largest="second"), [2**53 + 1], "long") == ["9007199254740993 seconds"]
+
+
+def exact_ranks(rows):
+    sums = {k: None for k, _ in rows}
+    for k, v in rows:
+        sums[k] = sums[k] if v is None else Fraction(v) + (sums[k] or 0)
+    known = [v for v in sums.values() if v is not None]
+    return sorted(((k, 1 + (len(known) if v is None else sum(w > v for w in known))) for k, v in sums.items()), key=str)
+
+
+def test_rank_of_totals_that_tie(spark, tmp_path):
+    """Customers with the same prices in other orders: sums of doubles differ in their last bits."""
+    prices, rows = [0.1, 0.2, 0.3, 123456.78, 0.7, 499993.18, 1e-7], []
+    for k in range(12):
+        turned = prices[k % 7 :] + prices[: k % 7]
+        rows += [(k, p) for p in (turned if k % 2 else turned[::-1])]
+    assert len({reduce(add, (p for c, p in rows if c == k)) for k in range(12)}) > 1
+    rows += [(12, 0.1), (12, 0.2), (13, 0.3), (14, None), (15, 700000.0), (None, 0.3), (16, -5.5), (16, 1e17), (17, 1e17), (17, -5.25), (18, 1e-20), (19, -1e-20), (20, 2.0**80), (20, -3.0), (20, -(2.0**80))]
+    rows += [(21, 3.0), (21, -1e-20), (22, -3.0), (23, 0.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in QUERIES["window_over_agg"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == exact_ranks(rows)
+
+
+def test_sum_key_of_what_no_digit_holds(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {0: [nan, 1.0], 1: [inf], 2: [1e300, 1.0], 3: [2.0**103], 4: [1.0], 5: [-1e300], 6: [-inf], 7: [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, v double").groupBy("k").agg(A.sum_key(F.col("v")).alias("s"))
+    assert [r.k for r in df.orderBy(F.col("s").desc()).collect()] == list(groups)
