@@ -51,6 +51,7 @@ class Join:
     how: str
     on: Any
     left: Any
+    near: Any = None
 
 
 def listed(items) -> list:
@@ -110,9 +111,12 @@ class Query:
         first, *others = sources
         return self._with(source=first, at=first, joins=tuple(Join(s, "cross", None, first) for s in others))
 
-    def join(self, source, how: str = "inner", on: Any = None, src: Any = None) -> Query:
+    def join(self, source, how: str = "inner", on: Any = None, src: Any = None, near: tuple | None = None) -> Query:
+        """``near=(x, y, d)``: and the new source's ``x`` lies between ``y - d`` and ``y + d`` of what is joined already."""
+        if near and (how.lower() != "inner" or not near[2] > 0):
+            raise ValueError("near takes an inner join and a distance above zero")
         left = src if src is not None else self.at if self.at is not None else self.source
-        return self._with(joins=(*self.joins, Join(source, how.lower(), on, left)), at=source)
+        return self._with(joins=(*self.joins, Join(source, how.lower(), on, left, near)), at=source)
 
     def join_from(self, left, source, how: str = "inner", on: Any = None) -> Query:
         return self.join(source, how, on, left)
@@ -281,7 +285,7 @@ class Query:
             else:
                 named = j.on if isinstance(j.on, str) else None
                 on = join_condition(j.left, j.source, named) if j.on is None or named else j.on
-                df = df.join(right, col(on), kind)
+                df = near_join(df, right, col(on), *j.near) if j.near else df.join(right, col(on), kind)
         return df
 
     def df(self) -> DataFrame:
@@ -440,6 +444,23 @@ class Query:
     __hash__ = object.__hash__
 
 
+def near_join(left: DataFrame, right: DataFrame, on: Column, x: Any, y: Any, distance: float) -> DataFrame:
+    """An inner join where ``x`` of the right lies between ``y - distance`` and ``y + distance`` of the left.
+
+    Cells of twice the distance are a key beside those of ``on``: a row of the left goes to the two, at
+    most three, cells its range touches, so that only neighbours are compared. Cells are dealt out by a
+    shuffle, for a broadcast join would run in the tasks that read the right, however few they are.
+    """
+    x, low, high = col(x), col(y) - distance, col(y) + distance
+
+    def cell(c: Column) -> Column:  # grows with its argument; NaN and what is beyond all cells share the outer ones
+        return F.floor(F.least(F.greatest(c.cast("double") / (2.0 * distance), F.lit(-(2.0**52))), F.lit(2.0**52)))
+
+    left = left.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
+    right = right.withColumn("__in", cell(x)).hint("merge")
+    return left.join(right, on & (F.col("__cell") == F.col("__in")) & x.between(low, high), "inner").drop("__cell", "__in")
+
+
 class DoesNotExist(LookupError):
     pass
 

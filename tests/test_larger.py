@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessellate.functions import aggregates as A
 from tessellate.functions import text
+from tessellate.models import Customer, Supplier
 from tessellate.registry import ORACLE, QUERIES
+from tessellate.session import Database
 
 from test_expr import many
 
@@ -69,3 +71,29 @@ def test_sum_key_of_what_no_digit_holds(spark):
     groups = {0: [nan, 1.0], 1: [inf], 2: [1e300, 1.0], 3: [2.0**103], 4: [1.0], 5: [-1e300], 6: [-inf], 7: [None]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, v double").groupBy("k").agg(A.sum_key(F.col("v")).alias("s"))
     assert [r.k for r in df.orderBy(F.col("s").desc()).collect()] == list(groups)
+
+
+def test_theta_join_compares_neighbours_only(spark, agree):
+    """Balances at the edges of cells and beyond them; the nation alone was the key of the join."""
+    inf, nan = float("inf"), float("nan")
+    balances = [0.0, -0.0, 1.0, -1.0, 2.0, 3.0, 0.9999999999, 1.0000000001, -999.85, 9999.8, 1e15, 1e15 + 1, 9e15, 1e16 + 2, 1e17, -1e17, 1e300, -1e300, inf, -inf, nan, None]
+    balances += [k * 0.37 for k in range(200)]
+    customers = spark.createDataFrame([(k, n, b) for k, (n, b) in enumerate((n, b) for n in (1, 2, None) for b in balances)], "c_custkey long, c_nationkey int, c_acctbal double")
+    suppliers = spark.createDataFrame([(k, n, b) for k, (n, b) in enumerate((n, b) for n in (2, 3, None) for b in reversed(balances))], "s_suppkey long, s_nationkey int, s_acctbal double")
+    assert len(agree("theta_join", customer=customers, supplier=suppliers)) > 1000
+
+
+def test_near_join(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS c_custkey", "1 AS c_nationkey", "id * 0.1 AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3000).selectExpr("id AS s_suppkey", "1 AS s_nationkey", "id * 0.1 AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = QUERIES["theta_join"](spark, str(tmp_path))
+    got = df.agg(F.count("*"), F.max(F.abs(df.s_suppkey - df.c_custkey))).first()
+    assert got[1] == 10 and 3000 * 19 < got[0] <= 3000 * 21
+    assert "__cell" in df._jdf.queryExecution().executedPlan().toString()
+    db = Database(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        db.select(Supplier.s_suppkey).join(Customer, "left", Supplier.nation == Customer.nation, near=(Customer.c_acctbal, Supplier.s_acctbal, 1))
+    with pytest.raises(ValueError):
+        db.select(Supplier.s_suppkey).join(Customer, on=Supplier.nation == Customer.nation, near=(Customer.c_acctbal, Supplier.s_acctbal, 0))
+    narrow = db.select(Supplier.s_suppkey, Customer.c_custkey).join(Customer, on=Supplier.nation == Customer.nation, near=(Customer.c_acctbal, Supplier.s_acctbal, 0.01))
+    assert narrow.count() == 3000
