@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .expr import Distinct, Expr, Order, col, frame
 from .schema import FieldRef, Model, ModelAlias, base, join_condition
+from .windows import spread
 
 OPERATORS = {
     "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b,
@@ -87,6 +88,7 @@ class Query:
     extra: tuple = ()
     default: bool = False
     sampled: Any = field(default=None)
+    spread_: tuple = ()
 
     def _with(self, **changes) -> Query:
         return replace(self, **changes)
@@ -215,6 +217,10 @@ class Query:
     def paginate(self, page: int, size: int = 20) -> Query:
         return self._with(limit_=size, offset_=(max(page, 1) - 1) * size)
 
+    def spread(self, *keys) -> Query:
+        """For windows over large tables: the rows of each key together, in tasks that stay small."""
+        return self._with(spread_=keys)
+
     def alias(self, name: str) -> Query:
         return self._with(alias_=name)
 
@@ -292,6 +298,8 @@ class Query:
         df = self._joined()
         if (test := self._all(self.conditions)) is not None:
             df = df.filter(test)
+        if self.spread_:
+            df = spread(df, *self.spread_)
         items = list(self.items)
         if not items and self.groups:
             items = list(self.groups)

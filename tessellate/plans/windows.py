@@ -98,6 +98,23 @@ def window(**given):
     return spec(**given).build()
 
 
+#: Bytes of the files read for each task of a spread window.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Rows of equal keys together, in tasks whose number grows with the tables read.
+
+    A window sorts what its task holds; with a fixed number of shuffle partitions that grows with the
+    input. Where Spark doesn't know a table's size, its own number of partitions stands.
+    """
+    found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(found.apply(k).stats().sizeInBytes()) for k in range(found.size()))
+    if size >= 2**60:
+        return df.repartition(*map(col, keys))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)), *map(col, keys))
+
+
 def over_groups(df: DataFrame, functions: dict[str, Any], *, partition_by, order_by, start, end=CURRENT) -> DataFrame:
     """Aggregates over GROUPS frames: peer groups are numbered, and a RANGE over the numbers is the frame."""
     keys, order = [col(p) for p in listed(partition_by)], [col(o) for o in listed(order_by)]
@@ -111,19 +128,21 @@ def excluding(kind: str, function: str, value, *, partition_by, order_by, start=
 
     The frame's sum and count, less those of the excluded rows. Peers are excluded only where they
     lie in the frame, so that GROUP and TIES are offered on unbounded and on RANGE-like frames.
+    Every frame takes the same order, so that a task sorts its rows once.
     """
     keys, order = [col(p) for p in listed(partition_by)], [col(o) for o in listed(order_by)]
     v = col(value)
     whole = Window.partitionBy(*keys)
-    w = whole if start is None and end is None else whole.orderBy(*order).rowsBetween(bound(start, True), bound(end, False))
+    bounded = start is not None or end is not None
+    w = whole.orderBy(*order).rowsBetween(bound(start, True), bound(end, False)) if bounded or order else whole
     peers = whole.orderBy(*order).rangeBetween(0, 0)
-    if kind.lower() in ("group", "ties") and w is not whole:
+    if kind.lower() in ("group", "ties") and bounded:
         raise ValueError("EXCLUDE GROUP and TIES take an unbounded frame")
     own, one = F.coalesce(v, v * 0), F.when(v.isNotNull(), 1).otherwise(0)
     zero = F.lit(0)
     total = F.coalesce(F.sum(v).over(w), zero)
     count = F.count(v).over(w)
-    low, high = (bound(start, True), bound(end, False)) if w is not whole else (-1, 1)
+    low, high = (bound(start, True), bound(end, False)) if bounded else (-1, 1)
     inside = low <= 0 <= high
     if kind.lower() == "current row":
         gone, gone_n = (F.coalesce(own, zero), one) if inside else (zero, zero)

@@ -1,5 +1,6 @@
 """Registered queries against their SQL on tables that go beyond the smallest ones."""
 
+import re
 from fractions import Fraction
 from functools import reduce
 from operator import add
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tessellate.functions import aggregates as A
 from tessellate.functions import text
 from tessellate.models import Customer, Supplier
+from tessellate.plans import windows
 from tessellate.registry import ORACLE, QUERIES
 from tessellate.session import Database
 
@@ -97,3 +99,29 @@ def test_near_join(spark, tmp_path):
         db.select(Supplier.s_suppkey).join(Customer, on=Supplier.nation == Customer.nation, near=(Customer.c_acctbal, Supplier.s_acctbal, 0))
     narrow = db.select(Supplier.s_suppkey, Customer.c_custkey).join(Customer, on=Supplier.nation == Customer.nation, near=(Customer.c_acctbal, Supplier.s_acctbal, 0.01))
     assert narrow.count() == 3000
+
+
+LINES = "l_orderkey long, l_linenumber int, l_suppkey long, l_discount double, l_quantity double, l_returnflag string"
+
+
+def lines(n):
+    return [(k % (n // 9), k, k % 7, k % 11 / 100, None if k % 5 == 0 else float(k % 50), (None, "A", "N", "R")[k * 7 % 13 % 4]) for k in range(n)]
+
+
+def test_exclude_frames_sorts_once_in_tasks_that_stay_small(spark, agree, tmp_path, monkeypatch):
+    tasks = []
+    for n in (900, 9000):
+        df = spark.createDataFrame(lines(n), LINES)
+        agree("exclude_frames", lineitem=df)
+        size = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+        monkeypatch.setattr(windows, "SPREAD_BYTES", 2048)
+        plan = QUERIES["exclude_frames"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        tasks.append(int(re.search(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)", plan)[1]))
+        assert plan.count("Exchange ") == plan.count("Sort [") == 1 and tasks[-1] >= size / 2048
+    assert tasks[1] > tasks[0]
+
+
+def test_spread_of_tables_of_unknown_size(spark):
+    df = spark.createDataFrame([(k % 3, k) for k in range(30)], "k int, v int")
+    got = windows.spread(df, F.col("k"))
+    assert got.count() == 30 and "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
