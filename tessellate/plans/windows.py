@@ -118,7 +118,7 @@ def spread(df: DataFrame, *keys) -> DataFrame:
 def over_groups(df: DataFrame, functions: dict[str, Any], *, partition_by, order_by, start, end=CURRENT) -> DataFrame:
     """Aggregates over GROUPS frames: peer groups are numbered, and a RANGE over the numbers is the frame."""
     keys, order = [col(p) for p in listed(partition_by)], [col(o) for o in listed(order_by)]
-    ranked = df.withColumn("__peer", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked = (spread(df, *keys) if keys else df).withColumn("__peer", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order)))
     w = Window.partitionBy(*keys).orderBy("__peer").rangeBetween(bound(start, True), bound(end, False))
     return ranked.withColumns({name: col(f).over(w) for name, f in functions.items()}).drop("__peer")
 
